@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import crosssplit, forest, merkle, spans, splits
+from tunewright.llm import crosssplit, evalleak, forest, merkle, mixture, spans, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def _p3_newest(spark: SparkSession, folder: str) -> DataFrame:
     return store.check(songs.where(F.col("batch_no") == newest))
 
 
+def _leaks(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: f(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def _mixture(which: int) -> Query:
+    return lambda spark, folder: mixture.plan(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[which]
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _on("manifest", lambda m: merkle.collapse(m).where("rec_no <> keep_no").select("keep_no", "rec_no")),
@@ -49,6 +57,13 @@ def queries() -> dict[str, Query]:
         "p4_coverage": _on("songs", spans.coverage),
         "p5_found": _on("songs", splits.linked_groups),
         "p5_splits": _p5_splits,
+        "p8_found": _leaks(evalleak.leaks),
+        "p8_items": _leaks(evalleak.leaked_items),
+        "p8_cleaned": _leaks(evalleak.cleaned),
+        "p9_mixture": _mixture(0),
+        "p9_shares": _mixture(1),
+        "p10_found": _on("documents", lambda d: truncation.judged(d).where("truncated").select("doc_id")),
+        "p10_rates": _on("documents", truncation.rates),
     }
 
 
