@@ -21,7 +21,7 @@ from tunewright.functions.events import CODES, FIRST_CHAR
 from tunewright.llm.melodies import close_bpm, close_events, members
 from tunewright.shared import materialize, new_path
 
-TREES, DEPTH, DIGIT, NGRAM = 12, 3, 20, 3
+TREES, DEPTH, DIGIT, NGRAM = 10, 3, 20, 3
 #: Lookups widen to this prefix. The share of close pairs found in some tree at it is recall_at().
 WIDEST = 2
 
@@ -95,36 +95,41 @@ def prefix(depth: int) -> F.Column:
     return F.shiftright("label", DIGIT * (DEPTH - depth))
 
 
-def verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-    """The cids of new of the pairs (cid, old_cid) with close events and bpm."""
-    side = lambda df, p: df.select(F.col("cid").alias(f"{p}cid"), F.col("mel").alias(f"{p}mel"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"))
-    both = pairs.join(side(new, ""), "cid").join(side(old, "old_"), "old_cid").where(close_bpm(F.col("bpm"), F.col("old_bpm")))
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The cids of the pairs (cid, old_cid) with close events and bpm."""
+    side = lambda p: classes.select(F.col("cid").alias(f"{p}cid"), F.col("mel").alias(f"{p}mel"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"))
+    both = pairs.join(side(""), "cid").join(side("old_"), "old_cid").where(close_bpm(F.col("bpm"), F.col("old_bpm")))
     return both.where(close_events("mel", "old_mel", "n", "old_n")).select("cid").distinct()
 
 
-def lookup(new: DataFrame, new_entries: DataFrame, old: DataFrame, old_entries: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """cid of the new classes for which an old class with a smaller b0 is close.
+def lookup(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid of the classes for which a class with a smaller b0 is close.
 
-    A range in which no entry is earlier than another drops out by an aggregate. First each class is held against one
-    entry, the earliest, of its range at each depth: as many candidates as entries, however full a range is. Only what
-    that leaves unresolved is held against the whole range.
+    held: range, b0, cid of the entries in ranges that hold several batches. First each class is held against one entry,
+    the earliest, of each of its ranges (first_b0, first_cid): as many candidates as entries, however full a range is.
+    Only what that leaves unresolved is held against the whole range.
     """
-    at = prefix(widest).alias("range")
-    least = old_entries.groupBy(at).agg(F.min(F.struct("b0", "cid")).alias("first"))
-    probe = new_entries.select(at, "label", "b0", "cid").join(least, "range").where(F.col("first.b0") < F.col("b0"))
-    probe = materialize(probe.select("range", "label", "b0", "cid", F.col("first.cid").alias("old_cid")), "p3_probe")
-    easy = materialize(verified(probe.select("cid", "old_cid").distinct(), new, old), "p3_easy")
-    left = probe.join(easy, "cid", "left_anti")
-    ranges = left.select("range").distinct()
-    held = old_entries.select(at, F.col("label").alias("old_label"), F.col("b0").alias("old_b0"), F.col("cid").alias("old_cid")).join(ranges, "range", "left_semi")
-    rest = left.select("range", "label", "b0", "cid").join(held, "range").where(F.col("old_b0") < F.col("b0"))
-    return easy.unionByName(verified(rest.select("cid", "old_cid").distinct(), new, old))
+    used = materialize(classes.join(held.select("cid").distinct(), "cid", "left_semi"), "p3_used")
+    probe = held.where(F.col("first_b0") < F.col("b0"))
+    easy = materialize(verified(probe.select("cid", F.col("first_cid").alias("old_cid")).distinct(), used), "p3_easy")
+    left = probe.join(easy, "cid", "left_anti").select("range", "b0", "cid")
+    old = held.select("range", F.col("b0").alias("old_b0"), F.col("cid").alias("old_cid"), "first_cid").where(F.col("old_cid") != F.col("first_cid"))
+    rest = left.join(old, "range").where(F.col("old_b0") < F.col("b0")).select("cid", "old_cid").distinct()
+    return easy.unionByName(verified(rest, used))
+
+
+def in_mixed_ranges(runs: DataFrame, widest: int = WIDEST) -> DataFrame:
+    """Entries whose range holds entries of several batches, with the range's earliest one. Most ranges hold one entry
+    and drop out by the aggregate; the join that follows is on the rest, and a full range is split by AQE."""
+    entry = runs.select(prefix(widest).alias("range"), "b0", "cid")
+    ranges = entry.groupBy("range").agg(F.min("b0").alias("first_b0"), F.max("b0").alias("last_b0"), F.min_by("cid", "b0").alias("first_cid"))
+    return entry.join(ranges.where("first_b0 < last_b0").drop("last_b0"), "range")
 
 
 def classes_of(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members, and one row per distinct (melody, bpm): cid, b0 (its earliest batch), mel, bpm. Songs without batch or bpm take no part."""
+    """Members, and one row per distinct (melody, bpm): cid, b0 and b1 (its first and last batch), mel, bpm. Songs without batch or bpm take no part."""
     rows = materialize(members(songs.where(F.col("batch_no").isNotNull() & F.col("bpm").isNotNull()), "bpm", "batch_no"), "p3_rows")
-    return rows, rows.groupBy("mel", "bpm").agg(F.min("rec_no").alias("cid"), F.min("batch_no").alias("b0"))
+    return rows, rows.groupBy("mel", "bpm").agg(F.min("rec_no").alias("cid"), F.min("batch_no").alias("b0"), F.max("batch_no").alias("b1"))
 
 
 def repeats(songs: DataFrame) -> DataFrame:
@@ -136,9 +141,12 @@ def repeats(songs: DataFrame) -> DataFrame:
     rows, grouped = classes_of(songs)
     classes = materialize(grouped, "p3_classes")
     runs = materialize(entries(classes), "p3_entries")
-    found = lookup(classes, runs, classes, runs).select("cid", F.lit(True).alias("near"))
-    marked = classes.join(found, "cid", "left").select("mel", "bpm", "b0", F.coalesce("near", F.lit(False)).alias("near"))
-    return rows.join(marked, ["mel", "bpm"]).where(F.col("near") | (F.col("batch_no") > F.col("b0"))).select("rec_no", (F.col("batch_no") > F.col("b0")).alias("exact"))
+    found = lookup(materialize(in_mixed_ranges(runs), "p3_held"), classes).select("cid", F.lit(True).alias("near"))
+    marked = classes.join(found, "cid", "left").where(F.col("near") | (F.col("b0") < F.col("b1")))
+    key = [F.xxhash64("mel", "bpm").alias("ka"), F.xxhash64(F.lit(1), "mel", "bpm").alias("kb")]
+    marked = marked.select(*key, "b0", F.coalesce("near", F.lit(False)).alias("near"))
+    both = rows.select(*key, "rec_no", "batch_no").join(marked, ["ka", "kb"])
+    return both.where(F.col("near") | (F.col("batch_no") > F.col("b0"))).select("rec_no", (F.col("batch_no") > F.col("b0")).alias("exact"))
 
 
 class HashForest:
@@ -149,6 +157,8 @@ class HashForest:
     """
 
     MERGE_AT = 8
+    #: A batch with up to so many entries sends its ranges to the history's scan (8 bytes each); a larger one is joined.
+    BROADCAST_RANGES = 1_000_000
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.runs = spark, path or new_path(spark, "forest"), []
@@ -180,10 +190,17 @@ class HashForest:
         self.last = (new, made)
         if not self.runs:
             return rows.select("rec_no").limit(0)
-        old = self._read("classes").withColumn("b0", F.lit(-(2**31) + 1))
-        hist = self._read("entries").withColumn("b0", F.lit(-(2**31) + 1))
-        # exact repeats have the same labels, so they are found in the deepest range as well
-        found = lookup(new, made, old, hist)
+        earlier, at = F.lit(-(2**31)), prefix(WIDEST)
+        ranges = made.select(at.alias("range")).distinct()
+        few = new.count() * TREES <= self.BROADCAST_RANGES
+        hist = self._read("entries").select(at.alias("range"), "cid").join(F.broadcast(ranges) if few else ranges, "range", "left_semi")
+        # a class of the batch may have the number of a class of the history, so the history's are negated
+        hist = materialize(hist.select("range", earlier.alias("b0"), (-F.col("cid") - 1).alias("cid")), "forest_hits")
+        first = hist.groupBy("range").agg(F.min("cid").alias("first_cid"))
+        held = made.select(at.alias("range"), "b0", "cid").unionByName(hist).join(first, "range").withColumn("first_b0", earlier)
+        old = self._read("classes").withColumn("cid", -F.col("cid") - 1).join(hist.select("cid").distinct(), "cid", "left_semi")
+        found = lookup(materialize(held, "forest_held"), new.select("cid", "mel", "bpm").unionByName(old.select("cid", "mel", "bpm")))
+        # exact repeats have the same labels, so they are found as well
         return rows.join(new.join(found, "cid", "left_semi").select("mel", "bpm"), ["mel", "bpm"]).select("rec_no")
 
     def accept(self) -> None:
