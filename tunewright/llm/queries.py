@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import crosssplit, evalleak, forest, merkle, mixture, spans, splits, truncation
+from tunewright.llm import crosssplit, encoding, evalleak, forest, merkle, mixture, spans, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,23 @@ def _leaks(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: f(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
 
 
+def _titles(spark: SparkSession, folder: str, field: str, keep: bool = False) -> DataFrame:
+    """The raw records' text, or the songs' names, with what stands in them outside ASCII."""
+    if field == "raw":
+        return encoding.texts_of(_table(spark, folder, "manifest"), "rec_no", F.col("raw"), "raw", keep)
+    return encoding.texts_of(_table(spark, folder, "songs"), "rec_no", F.col("name"), "name", keep)
+
+
+def _p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.damaged(_titles(spark, folder, "raw"), "rec_no").select("rec_no")
+
+
+def _p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Both fields in one fit: a source's names bear out what happened to its records, and the other way round."""
+    texts = _titles(spark, folder, "raw", True).unionByName(_titles(spark, folder, "name", True))
+    return encoding.damaged(texts, "rec_no", repair=True)
+
+
 def _mixture(which: int) -> Query:
     return lambda spark, folder: mixture.plan(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[which]
 
@@ -57,6 +74,8 @@ def queries() -> dict[str, Query]:
         "p4_coverage": _on("songs", spans.coverage),
         "p5_found": _on("songs", splits.linked_groups),
         "p5_splits": _p5_splits,
+        "p7_found": _p7_found,
+        "p7_restored": _p7_restored,
         "p8_found": _leaks(evalleak.leaks),
         "p8_items": _leaks(evalleak.leaked_items),
         "p8_cleaned": _leaks(evalleak.cleaned),
