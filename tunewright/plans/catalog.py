@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tunewright.plans import corpus
+
 FLAGSHIP = "nearest_reference"
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return corpus.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return corpus.oracle_sql()
