@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunewright.plans import corpus
+from tunewright.plans import corpus, melodies
 
+PARTS = (corpus, melodies)
 FLAGSHIP = "nearest_reference"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return corpus.queries()
+    out: dict[str, Query] = {}
+    for part in PARTS:
+        out |= part.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.oracle_sql()
+    out: dict[str, str] = {}
+    for part in PARTS:
+        out |= part.oracle_sql()
+    return out
