@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunewright.plans import corpus, melodies
+from tunewright.plans import corpus, duplicates, melodies
 
-PARTS = (corpus, melodies)
+PARTS = (corpus, melodies, duplicates)
 FLAGSHIP = "nearest_reference"
 
 Query = Callable[[SparkSession, str], DataFrame]
