@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunewright.plans import corpus, duplicates, melodies
+from tunewright.plans import corpus, duplicates, melodies, model
 
-PARTS = (corpus, melodies, duplicates)
+PARTS = (corpus, melodies, duplicates, model)
 FLAGSHIP = "nearest_reference"
 
 Query = Callable[[SparkSession, str], DataFrame]
