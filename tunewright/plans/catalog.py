@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunewright.plans import corpus, duplicates, melodies, model
+from tunewright.plans import corpus, duplicates, melodies, model, timelines
 
-PARTS = (corpus, melodies, duplicates, model)
+PARTS = (corpus, melodies, duplicates, model, timelines)
 FLAGSHIP = "nearest_reference"
 
 Query = Callable[[SparkSession, str], DataFrame]
