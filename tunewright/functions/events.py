@@ -26,10 +26,3 @@ def event_code(e: Column) -> Column:
     step = F.when(e["pitch"].isNull(), F.lit(0)).when(e["pitch"].between(MIN_PITCH, MAX_PITCH), e["pitch"] - (MIN_PITCH - 1))
     return (step * len(DURATIONS) + exponent) * 2 + F.coalesce(e["dotted"].cast("int"), F.lit(0))
 
-
-def melody(events: Column) -> Column:
-    """One character per event; null if there are no events or one is null or outside the model's domain."""
-    alphabet = F.array(*[F.lit(chr(FIRST_CHAR + c)) for c in range(CODES)])
-    # array_join leaves nulls out, so a shorter string tells of an event outside the domain
-    joined = F.array_join(F.transform(events, lambda e: F.element_at(alphabet, event_code(e) + 1)), "")
-    return F.when((F.size(events) > 0) & (F.length(joined) == F.size(events)), joined)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunewright.plans import corpus, duplicates, melodies, model, timelines
+from tunewright.plans import corpus, duplicates, generating, melodies, model, sources, texts, timelines
 
-PARTS = (corpus, melodies, duplicates, model, timelines)
+PARTS = (corpus, melodies, duplicates, model, timelines, sources, texts, generating)
 FLAGSHIP = "nearest_reference"
 
 Query = Callable[[SparkSession, str], DataFrame]
