@@ -11,6 +11,12 @@ from tunewright.functions.events import MAX_PITCH, MIN_PITCH
 PITCH_NAMES = ("c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once per row. A lambda evaluates what it refers to from outside again for every entry;
+    as the entry of a one-element array it is computed before."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def beats(e: Column) -> Column:
     """Length in quarter-note beats."""
     return F.lit(4.0) / e["duration"] * F.when(e["dotted"], 1.5).otherwise(1.0)
@@ -61,16 +67,16 @@ def successive(values: Column) -> Column:
 def legal_shifts(events: Column, low: int, high: int) -> Column:
     """Transpositions between low and high that keep every pitch in range; [0] if nothing sounds."""
     p = sounded(events)
-    fits = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda s: (F.array_min(p) + s >= MIN_PITCH) & (F.array_max(p) + s <= MAX_PITCH))
-    return F.when(F.size(p) == 0, F.array(F.lit(0))).otherwise(fits)
+    fits = lambda r: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda s: (r["lo"] + s >= MIN_PITCH) & (r["hi"] + s <= MAX_PITCH))
+    return F.when(F.size(p) == 0, F.array(F.lit(0))).otherwise(bound(F.struct(F.array_min(p).alias("lo"), F.array_max(p).alias("hi")), fits))
 
 
 def transposed(events: Column, shift: Column) -> Column:
     """Events moved by shift semitones; null if a pitch would leave the range."""
     p = sounded(events)
     ok = (F.size(p) == 0) | ((F.array_min(p) + shift >= MIN_PITCH) & (F.array_max(p) + shift <= MAX_PITCH))
-    moved = F.transform(events, lambda e: F.struct((e["pitch"] + shift).cast("int").alias("pitch"), e["duration"].alias("duration"), e["dotted"].alias("dotted")))
-    return F.when(ok, moved)
+    moved = lambda by: F.transform(events, lambda e: F.struct((e["pitch"] + by).cast("int").alias("pitch"), e["duration"].alias("duration"), e["dotted"].alias("dotted")))
+    return F.when(ok, bound(shift, moved))
 
 
 def edited(events: Column, start: int, stop: int, action: str, value: int | None = None) -> Column:
@@ -112,10 +118,14 @@ def exact_fingerprint(bpm: Column, events: Column, tempo: bool = True) -> Column
 
 def normal_form(events: Column) -> Column:
     """Pitches relative to the first that sounds and ticks over their common divisor, as canonical JSON."""
-    t = F.transform(events, ticks)
-    unit, first = common_unit(t), F.coalesce(F.get(sounded(events), F.lit(0)), F.lit(0))
-    one = lambda e: F.concat(F.lit("["), F.coalesce((e["pitch"] - first).cast("string"), F.lit("null")), F.lit(","), F.floor(ticks(e) / unit).cast("string"), F.lit("]"))
-    return F.concat(F.lit("["), F.array_join(F.transform(events, one), ","), F.lit("]"))
+    first = F.coalesce(F.get(sounded(events), F.lit(0)), F.lit(0))
+    head = F.struct(common_unit(F.transform(events, ticks)).alias("unit"), first.alias("first"))
+
+    def text(h: Column) -> Column:
+        one = lambda e: F.concat(F.lit("["), F.coalesce((e["pitch"] - h["first"]).cast("string"), F.lit("null")), F.lit(","), F.floor(ticks(e) / h["unit"]).cast("string"), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.transform(events, one), ","), F.lit("]"))
+
+    return bound(head, text)
 
 
 def family_fingerprint(events: Column) -> Column:
@@ -137,7 +147,6 @@ def encoded(bpm: Column, events: Column) -> Column:
     o = F.coalesce(modal(F.transform(sounded(events), octave)), F.lit(6))
     names = F.array(*[F.lit(n) for n in PITCH_NAMES])
 
-    # the defaults are bound once per song by a one-element array, not evaluated again for every note
     def text(s: Column) -> Column:
         def one(e: Column) -> Column:
             length = F.when(e["duration"] == s["d"], "").otherwise(e["duration"].cast("string"))
@@ -147,7 +156,7 @@ def encoded(bpm: Column, events: Column) -> Column:
 
         return F.concat(F.lit("d="), s["d"].cast("string"), F.lit(",o="), s["o"].cast("string"), F.lit(",b="), bpm.cast("string"), F.lit(":"), F.array_join(F.transform(events, one), ","))
 
-    return F.element_at(F.transform(F.array(F.struct(d.alias("d"), o.alias("o"))), text), 1)
+    return bound(F.struct(d.alias("d"), o.alias("o")), text)
 
 
 def longest_run(keys: Column) -> Column:

@@ -13,7 +13,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder. One that is stored in fewer pieces than there are cores (a single small file) is dealt out to
+    all of them; a larger one is read as it is split, without a shuffle."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:

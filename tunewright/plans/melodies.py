@@ -219,15 +219,15 @@ _EDITED = f"""
 
 
 def _cursor(songs: DataFrame) -> DataFrame:
-    """Onset time and frequency of every event of a song."""
-    sec = F.transform("events", lambda e: music.seconds(e, F.col("bpm")))
-    long = songs.select("rec_no", F.posexplode(F.arrays_zip(sec.alias("sec"), F.transform("events", lambda e: music.frequency(e["pitch"])).alias("hz")))).select("rec_no", F.col("pos").cast("bigint").alias("pos"), "col.sec", "col.hz")
+    """Onset in seconds and frequency of every event of a song. Beats are dyadic, so their running sum is exact."""
+    parts = F.arrays_zip(F.transform("events", music.beats).alias("beats"), F.transform("events", lambda e: music.frequency(e["pitch"])).alias("hz"))
+    long = songs.select("rec_no", "bpm", F.posexplode(parts)).select("rec_no", "bpm", F.col("pos").cast("bigint").alias("pos"), "col.beats", "col.hz")
     w = Window.partitionBy("rec_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return long.select("rec_no", "pos", F.coalesce(F.sum("sec").over(w), F.lit(0.0)).alias("onset"), "hz")
+    return long.select("rec_no", "pos", (F.coalesce(F.sum("beats").over(w), F.lit(0.0)) * 60.0 / F.col("bpm")).alias("onset"), "hz")
 
 
 _CURSOR = f"""
-    WITH {EV} SELECT rec_no, pos, coalesce(sum(beats * 60.0 / bpm) OVER (PARTITION BY rec_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS onset,
+    WITH {EV} SELECT rec_no, pos, coalesce(sum(beats) OVER (PARTITION BY rec_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) * 60.0 / bpm AS onset,
       440.0 * pow(2.0, (pitch - 69) / 12.0) AS hz FROM ev"""
 
 
