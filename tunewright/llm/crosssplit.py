@@ -108,7 +108,8 @@ def overlaps(songs: DataFrame) -> DataFrame:
     e = rows.where("split != 'train'").select("cid", F.col("rec_no").alias("rec_e"), F.col("bpm").alias("bpm_e"))
     t = rows.where("split = 'train'").select("cid", F.col("rec_no").alias("rec_t"), F.col("bpm").alias("bpm_t"))
     found = pairs.join(e.withColumnRenamed("cid", "cid_e"), "cid_e").join(t.withColumnRenamed("cid", "cid_t"), "cid_t").where(close_bpm(F.col("bpm_e"), F.col("bpm_t")))
-    return found.select(F.least("rec_e", "rec_t").alias("rec_a"), F.greatest("rec_e", "rec_t").alias("rec_b"))
+    found = found.select(F.least("rec_e", "rec_t").alias("rec_a"), F.greatest("rec_e", "rec_t").alias("rec_b"))
+    return found.where("rec_a < rec_b")  # a number given twice, on both sides, is no pair
 
 
 def overlap_counts(songs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def with_codes(songs: DataFrame, columns: list[str], made: str, make: Callable[[
     Songs without events, with a null event or with one outside the model's domain (pitch 60..107 or rest; lengths 1,
     2, 4, .. 32) can't be compared and are left out. A null dot is no dot.
     """
-    schema = ", ".join(f"{c} {songs.schema[c].dataType.simpleString()}" for c in columns)
+    schema = ", ".join(f"`{c}` {songs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,5 +80,5 @@ def with_codes(songs: DataFrame, columns: list[str], made: str, make: Callable[[
 
 
 def members(songs: DataFrame, *columns: str) -> DataFrame:
-    """rec_no, the given columns and mel of the songs that with_codes() keeps."""
-    return with_codes(songs, ["rec_no", *columns], "mel string", lambda code, off: [spelled(code, off)])
+    """rec_no, the given columns and mel of the songs that with_codes() keeps. A song without rec_no can't be named and is left out."""
+    return with_codes(songs.where("rec_no IS NOT NULL"), ["rec_no", *columns], "mel string", lambda code, off: [spelled(code, off)])

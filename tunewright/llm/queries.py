@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import crosssplit, encoding, evalleak, forest, merkle, mixture, spans, splits, truncation
+from tunewright.llm import crosssplit, encoding, evalleak, forest, merkle, mixture, oracle, spans, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

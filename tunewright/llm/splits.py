@@ -85,9 +85,10 @@ def grouped(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Songs (rec_no, place) with their source's key, and sources: place, node (smallest rec_no of the source), group_no
     (smallest rec_no of the group), sources (how many the group has).
 
-    A song without source counts as a source of its own. A song that with_codes() leaves out has no melody and belongs
+    A song without rec_no is left out. A song without source counts as a source of its own. A song that with_codes() leaves out has no melody and belongs
     to its source's group only.
     """
+    songs = songs.where("rec_no IS NOT NULL")
     place = F.coalesce(F.concat(F.lit("s"), "source"), F.concat(F.lit("r"), F.col("rec_no").cast("string"))).alias("place")
     all_rows = songs.select("rec_no", place)
     heads = materialize(all_rows.groupBy("place").agg(F.min("rec_no").alias("node")), "p5_heads")
