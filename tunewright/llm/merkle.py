@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunewright.shared import materialize
+
 #: White space as Python understands it, for java.util.regex.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
@@ -38,9 +40,9 @@ def normal_leaves(raw: Column) -> tuple[Column, Column, Column]:
 def digests(manifest: DataFrame) -> DataFrame:
     """rec_no, root digest (two 64-bit halves) and normal form of every row that is a candidate.
 
-    Rows of another kind, with a null raw, with fewer than two colons or without a note have no record and are left out.
+    Rows of another kind, without rec_no or raw, with fewer than two colons or without a note have no record and are left out.
     """
-    rows = manifest.where((F.col("kind") == "rtttl") & F.rlike(F.col("raw"), F.lit(r"(?s):.*:"))).select("rec_no", *[
+    rows = manifest.where(F.col("rec_no").isNotNull() & (F.col("kind") == "rtttl") & F.rlike(F.col("raw"), F.lit(r"(?s):.*:"))).select("rec_no", *[
         c.alias(n) for c, n in zip(normal_leaves(F.col("raw")), ("leaf", "texts", "notes"))
     ])
     rows = rows.where(F.col("notes") != "").withColumn("texts", F.array_sort("texts"))
@@ -55,7 +57,7 @@ def collapse(manifest: DataFrame) -> DataFrame:
     A group of equal records of any size is reduced before the shuffle; no row of it is ever gathered in one place.
     Repeated rows count as copies of one another. An empty table gives no rows.
     """
-    rows = digests(manifest)
+    rows = materialize(digests(manifest), "p1_digests")  # read three times, made once
     groups = rows.groupBy("root_a", "root_b").agg(
         F.min("rec_no").alias("keep_no"), F.count(F.lit(1)).alias("copies"), F.min("form").alias("least"), F.max("form").alias("greatest")
     )
