@@ -252,7 +252,7 @@ def damaged(texts: DataFrame, key: str, repair: bool = False) -> DataFrame:
     A null or empty text, and one without characters outside ASCII, is intact. Texts without source share the corpus's
     distribution of chains. Repeated rows repeat the result.
     """
-    keyed = texts.withColumn("source", F.coalesce("source", F.lit("\x01none")))
+    keyed = materialize(texts.withColumn("source", F.coalesce("source", F.lit("\x01none"))), "p7_texts")
     units = materialize(keyed.groupBy("source", "field", "sig").agg(F.count(F.lit(1)).alias("n")), "p7_units")
     posterior, model = fit(units)
     best = F.expr("array_position(posterior, array_max(posterior)) - 1").cast("int").alias("chain")
