@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,10 +39,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder; what is written there is deleted when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_delete, spark, path)
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        atexit.register(clear, spark, app)
+    _written.setdefault(app, []).append(path)
     return path
 
 
+def clear(spark: SparkSession, app: str | None = None) -> None:
+    """Delete all tables written so far. A long-lived session calls it when no result that reads them is needed any more."""
+    for path in _written.pop(app or spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the table that reads it back."""
     path = new_path(df.sparkSession, name)
