@@ -149,6 +149,18 @@ def repeats(songs: DataFrame) -> DataFrame:
     return both.where(F.col("near") | (F.col("batch_no") > F.col("b0"))).select("rec_no", (F.col("batch_no") > F.col("b0")).alias("exact"))
 
 
+def kinds(songs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """rec_no, kind of every repeat: record (the raw text's hash came with an earlier batch), exact (events and bpm did), near.
+
+    A text repeated in a folder with another convention of signs counts as record though its events differ.
+    """
+    keyed = songs.select("rec_no", "batch_no").join(manifest.select("rec_no", "record_sha256"), "rec_no").where("batch_no IS NOT NULL AND record_sha256 IS NOT NULL")
+    first = keyed.groupBy("record_sha256").agg(F.min("batch_no").alias("b0"), F.max("batch_no").alias("b1")).where("b0 < b1")
+    same = keyed.join(first, "record_sha256").where("b0 < batch_no").select("rec_no", F.lit(True).alias("record")).distinct()
+    both = repeats(songs).distinct().join(same, "rec_no", "full")
+    return both.select("rec_no", F.when(F.col("record"), "record").when(F.col("exact"), "exact").otherwise("near").alias("kind"))
+
+
 class HashForest:
     """The forest kept in a folder: runs/NNNNN/{classes,entries}, each sorted; a lookup reads all runs, a merge makes one.
 

@@ -68,6 +68,7 @@ def queries() -> dict[str, Query]:
         "p2_found": _on("songs", crosssplit.overlaps),
         "p2_counts": _on("songs", crosssplit.overlap_counts),
         "p3_found": _on("songs", lambda s: forest.repeats(s).select("rec_no")),
+        "p3_kinds": lambda spark, folder: forest.kinds(_table(spark, folder, "songs"), _table(spark, folder, "manifest")),
         "p3_newest": _p3_newest,
         "p4_found": _on("songs", spans.shared_pairs),
         "p4_spans": _on("songs", spans.shared_spans),
