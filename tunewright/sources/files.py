@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -90,8 +89,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """source, content, directory of all files below a folder on any storage, by Spark's own distributed listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/").rpartition("://")[2]
-    return files.select(F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + re.escape(os.path.join("/", root.lstrip("/"))) + "/?", "").alias("source"), "content", F.lit(False).alias("directory"))
+    root = "/" + re.sub(r"^\w+:/*", "", path.rstrip("/")).lstrip("/") + "/"
+    full = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^\w+:/*", "/")
+    inside = F.when(F.startswith(full, F.lit(root)), F.substring(full, F.lit(len(root) + 1), F.length(full))).otherwise(full)
+    return files.select(inside.alias("source"), "content", F.lit(False).alias("directory"))
 
 
 def kind(source: Column, size: Column, directory: Column) -> Column:
