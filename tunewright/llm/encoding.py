@@ -109,8 +109,9 @@ def undo(word: str, chain: tuple[tuple[str, str], ...], tables: dict[str, dict[s
 
 
 def _pairs(word: str) -> list[tuple[int, int, int]]:
-    """Cells of each character pair of the word, of its first and of its second character; case ignored."""
-    codes = [2, *map(ord, word.lower()), 3]
+    """Cells of each character pair of the word, of its first and of its second character. Case counts: a capital within a
+    word of small letters is a mark of damage."""
+    codes = [2, *map(ord, word), 3]
     single = [(a * 0x9E3779B1 + 0x1234567 >> 7) % CELLS for a in codes]
     return [((a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) % CELLS, x, y) for a, b, x, y in zip(codes, codes[1:], single, single[1:])]
 
@@ -134,6 +135,17 @@ class PairModel:
         return total
 
 
+def repair(word: str, chain: tuple[tuple[str, str], ...], tables: dict[str, dict[str, int]]) -> str | None:
+    """undo(), or None where that repairs nothing: a change of case alone leaves an intact spelling intact, and undoing a
+    mix-up of single-byte pages, which any text allows, must not turn letters or digits into signs."""
+    made = undo(word, chain, tables)
+    if made is None or made.lower() == word.lower():
+        return None
+    if chain[0][0] != "utf-8" and sum(map(str.isalnum, made)) < sum(map(str.isalnum, word)):
+        return None
+    return made
+
+
 def texts_of(rows: DataFrame, key: str, text: Column, field: str, keep: bool = False) -> DataFrame:
     """key, source, field, sig: the words of each text that hold a character outside ASCII. Other texts drop out."""
     sig = F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " ").alias("sig")
@@ -147,14 +159,14 @@ def _posteriors(sig: str, model: PairModel, tables: dict[str, dict[str, int]]) -
     intact = [model.score(w) for w in words]
     scores, restored = [sum(intact)], [words]
     for chain in CHAINS[1:]:
-        back = [undo(w, chain, tables) for w in words]
-        if all(b is None or b == w for b, w in zip(back, words, strict=True)):
+        back = [repair(w, chain, tables) for w in words]
+        if all(b is None for b in back):
             scores.append(None)
             restored.append([])
             continue
         total, out = 0.0, []
         for w, b, own in zip(words, back, intact, strict=True):
-            if b is None or b == w:
+            if b is None:
                 total += np.log(1 - GARBLED) + own
                 out.append(w)
             else:
@@ -186,17 +198,16 @@ def _fitted(weighted: DataFrame, model: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, pairs = _tables(), PairModel(sent.value)
         total = np.zeros((2, CELLS))
-        end = (3 * 0x9E3779B1 + 0x1234567 >> 7) % CELLS
         for batch in batches:
             for sig, weights in zip(batch.column("sig").to_pylist(), batch.column("weights").to_pylist(), strict=True):
                 _, restored = _posteriors(sig, pairs, tables)
                 for words, w in zip(restored, weights, strict=True):
                     if w and w > 1e-3:
                         for word in words:
-                            for p, f, _ in _pairs(word):
+                            for p, f, own in _pairs(word):
                                 total[0, p] += w
                                 total[1, f] += w
-                            total[1, end] += w
+                            total[1, own] += w  # the end of the word
         at = np.nonzero(total.ravel())[0]
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], names=["cell", "n"])
 
