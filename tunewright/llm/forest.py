@@ -102,28 +102,35 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(close_events("mel", "old_mel", "n", "old_n")).select("cid").distinct()
 
 
-def lookup(held: DataFrame, classes: DataFrame) -> DataFrame:
+def lookup(held: DataFrame, classes: DataFrame, widest: int = WIDEST) -> DataFrame:
     """cid of the classes for which a class with a smaller b0 is close.
 
-    held: range, b0, cid of the entries in ranges that hold several batches. First each class is held against one entry,
-    the earliest, of each of its ranges (first_b0, first_cid): as many candidates as entries, however full a range is.
-    Only what that leaves unresolved is held against the whole range.
+    held: label, b0, cid of the entries whose widest range holds several batches. From the deepest prefix to the widest,
+    what is still unresolved is held against one entry, the earliest, of each of its ranges: as many candidates as
+    entries, however full a range is. Only what that leaves is held against the whole widest range, and there a pair is
+    made only if lengths and tempi allow it.
     """
     used = materialize(classes.join(held.select("cid").distinct(), "cid", "left_semi"), "p3_used")
-    probe = held.where(F.col("first_b0") < F.col("b0"))
-    easy = materialize(verified(probe.select("cid", F.col("first_cid").alias("old_cid")).distinct(), used), "p3_easy")
-    left = probe.join(easy, "cid", "left_anti").select("range", "b0", "cid")
-    old = held.select("range", F.col("b0").alias("old_b0"), F.col("cid").alias("old_cid"), "first_cid").where(F.col("old_cid") != F.col("first_cid"))
-    rest = left.join(old, "range").where(F.col("old_b0") < F.col("b0")).select("cid", "old_cid").distinct()
-    return easy.unionByName(verified(rest, used))
+    done: DataFrame | None = None
+    left = held
+    for depth in range(DEPTH, widest - 1, -1):
+        first = held.groupBy(prefix(depth).alias("range")).agg(F.min("b0").alias("first_b0"), F.min_by("cid", "b0").alias("old_cid"))
+        pairs = left.withColumn("range", prefix(depth)).join(first, "range").where(F.col("first_b0") < F.col("b0")).select("cid", "old_cid").distinct()
+        found = materialize(verified(pairs, used), "p3_found")
+        done = found if done is None else done.unionByName(found)
+        left = left.join(found, "cid", "left_anti")
+    gates = used.select("cid", F.length("mel").alias("n"), "bpm")
+    new = left.select(prefix(widest).alias("range"), "b0", "cid").join(gates, "cid")
+    old = held.select(prefix(widest).alias("range"), *[F.col(c).alias(f"old_{c}") for c in ("b0", "cid")]).join(gates.select(*[F.col(c).alias(f"old_{c}") for c in ("cid", "n", "bpm")]), "old_cid")
+    fits = (F.col("old_b0") < F.col("b0")) & close_bpm(F.col("bpm"), F.col("old_bpm")) & (F.abs(F.col("n") - F.col("old_n")) * 10 <= F.greatest("n", "old_n"))
+    return done.unionByName(verified(new.join(old, "range").where(fits).select("cid", "old_cid").distinct(), used))
 
 
 def in_mixed_ranges(runs: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """Entries whose range holds entries of several batches, with the range's earliest one. Most ranges hold one entry
-    and drop out by the aggregate; the join that follows is on the rest, and a full range is split by AQE."""
-    entry = runs.select(prefix(widest).alias("range"), "b0", "cid")
-    ranges = entry.groupBy("range").agg(F.min("b0").alias("first_b0"), F.max("b0").alias("last_b0"), F.min_by("cid", "b0").alias("first_cid"))
-    return entry.join(ranges.where("first_b0 < last_b0").drop("last_b0"), "range")
+    """label, b0, cid of the entries whose range holds entries of several batches. Most ranges hold one entry and drop out
+    by the aggregate; the join that follows is on the rest, and a full range is split by AQE."""
+    ranges = runs.groupBy(prefix(widest).alias("range")).agg(F.min("b0").alias("lo"), F.max("b0").alias("hi")).where("lo < hi").select("range")
+    return runs.join(ranges, prefix(widest) == F.col("range"), "left_semi").select("label", "b0", "cid")
 
 
 def classes_of(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,14 +209,13 @@ class HashForest:
         self.last = (new, made)
         if not self.runs:
             return rows.select("rec_no").limit(0)
-        earlier, at = F.lit(-(2**31)), prefix(WIDEST)
-        ranges = made.select(at.alias("range")).distinct()
+        ranges = made.select(prefix(WIDEST).alias("range")).distinct()
         few = new.count() * TREES <= self.BROADCAST_RANGES
-        hist = self._read("entries").select(at.alias("range"), "cid").join(F.broadcast(ranges) if few else ranges, "range", "left_semi")
-        # a class of the batch may have the number of a class of the history, so the history's are negated
-        hist = materialize(hist.select("range", earlier.alias("b0"), (-F.col("cid") - 1).alias("cid")), "forest_hits")
-        first = hist.groupBy("range").agg(F.min("cid").alias("first_cid"))
-        held = made.select(at.alias("range"), "b0", "cid").unionByName(hist).join(first, "range").withColumn("first_b0", earlier)
+        hist = self._read("entries").join(F.broadcast(ranges) if few else ranges, prefix(WIDEST) == F.col("range"), "left_semi")
+        # a class of the batch may have the number of a class of the history, so the history's are negated; all are earlier
+        hist = materialize(hist.select("label", F.lit(-(2**31)).alias("b0"), (-F.col("cid") - 1).alias("cid")), "forest_hits")
+        hit = hist.select(prefix(WIDEST).alias("range")).distinct()
+        held = made.select("label", "b0", "cid").join(hit, prefix(WIDEST) == F.col("range"), "left_semi").unionByName(hist)
         old = self._read("classes").withColumn("cid", -F.col("cid") - 1).join(hist.select("cid").distinct(), "cid", "left_semi")
         found = lookup(materialize(held, "forest_held"), new.select("cid", "mel", "bpm").unionByName(old.select("cid", "mel", "bpm")))
         # exact repeats have the same labels, so they are found as well
