@@ -58,6 +58,14 @@ def _tonics(songs: DataFrame) -> DataFrame:
     return cut.select("written", titles.tonic(F.col("written")).alias("tonic"))
 
 
+_AVOID = f"""
+    WITH r AS (SELECT rec_no, name FROM songs WHERE name IS NOT NULL ORDER BY rec_no DESC LIMIT 10),
+    c AS (SELECT rec_no, list_filter(string_split_regex(regexp_replace(name, '[^A-Za-z0-9 ]', ' ', 'g'), '\\s+'), lambda x: x <> '')[1:4] AS w FROM r),
+    u AS (SELECT DISTINCT rec_no, unnest(string_split(lower(trim(substr(array_to_string(w, ' '), 1, 32))), ' ')) AS word FROM c),
+    n AS (SELECT word, count(*) AS n FROM u WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ({", ".join(f"'{w}'" for w in titles.STOP_WORDS)}) GROUP BY word HAVING count(*) >= 2)
+    SELECT rank, word, n FROM (SELECT row_number() OVER (ORDER BY n DESC, word) AS rank, word, n FROM n) WHERE rank <= 8"""
+
+
 _TONICS = """
     WITH c AS (SELECT DISTINCT substr(name, 1, 2) AS written FROM songs), t AS (SELECT written, trim(replace(replace(written, '♯', '#'), '♭', 'b')) AS t FROM c),
     n AS (SELECT written, CASE upper(substr(t, 1, 1)) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 WHEN 'B' THEN 11 END + CASE substr(t, 2) WHEN '' THEN 0 WHEN '#' THEN 1 WHEN 'b' THEN -1 END AS k FROM t)
@@ -80,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "web_roundtrip": f"WITH {EV} SELECT rec_no, CAST(NULL AS VARCHAR) AS error, true AS same, sum(beats * 60.0 / bpm) AS seconds FROM ev GROUP BY rec_no",
         "title_repeats": _REPEATS,
+        "avoid_words": _AVOID,
         "numbered_names": "SELECT rec_no AS id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY rec_no) AS place FROM songs WHERE name IS NOT NULL",
         "tonic_names": _TONICS,
     }
