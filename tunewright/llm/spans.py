@@ -150,11 +150,16 @@ def repeated_windows(classes: DataFrame, length: int = LENGTH, max_cells: int =
 
 
 def _prepared(songs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = materialize(members(songs), "p4_rows").where(F.length("mel") >= length)
+    rows = materialize(members(songs).where(F.length("mel") >= length), "p4_rows")
     classes = materialize(rows.groupBy("mel").agg(F.min("rec_no").alias("cid"), F.count(F.lit(1)).alias("copies")), "p4_classes")
     return rows, classes, materialize(repeated_windows(classes, length), "p4_windows")
 
 
+def _key() -> list:
+    """128-bit hash of the melody: what joins songs to classes ships it instead of the melody."""
+    return [F.xxhash64("mel").alias("ka"), F.xxhash64(F.lit(1), "mel").alias("kb")]
+
+
 def _shared(windows: DataFrame) -> DataFrame:
     """The windows that really stand in two melodies or more, and the range of the events before them."""
     groups = windows.groupBy("ha", "hb").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("before").alias("b_lo"), F.max("before").alias("b_hi"))
@@ -183,8 +188,8 @@ def shared_pairs(songs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows, classes, windows = _prepared(songs, length)
     pairs = _starts(windows).select("cid_a", "cid_b").distinct()
     pairs = materialize(pairs.unionByName(classes.where("copies > 1").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))), "p4_pairs")
-    used = classes.join(pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "mel")
-    of = rows.join(used, "mel").select("cid", "rec_no")
+    used = classes.join(pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", *_key())
+    of = materialize(rows.select("rec_no", *_key()).join(used, ["ka", "kb"]).select("cid", "rec_no"), "p4_songs")
     both = pairs.join(of.select(F.col("cid").alias("cid_a"), F.col("rec_no").alias("a")), "cid_a").join(of.select(F.col("cid").alias("cid_b"), F.col("rec_no").alias("b")), "cid_b")
     return both.where((F.col("cid_a") != F.col("cid_b")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
 
@@ -214,7 +219,7 @@ def coverage(songs: DataFrame, length: int = LENGTH) -> DataFrame:
     w = windows.join(_shared(windows).select("ha", "hb"), ["ha", "hb"], "left_semi").select("cid", "at").distinct()
     before = F.lag("at").over(Window.partitionBy("cid").orderBy("at"))
     covered = w.withColumn("new", F.least(F.lit(length), F.coalesce(F.col("at") - before, F.lit(length)))).groupBy("cid").agg(F.sum("new").alias("covered"))
-    each = classes.join(covered, "cid", "left").select("mel", "cid", F.when(F.col("copies") > 1, F.length("mel")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint").alias("shared"))
-    long = rows.join(each, "mel").select("rec_no", F.col("cid").alias("same_as"), F.length("mel").cast("bigint").alias("events"), "shared")
+    each = classes.join(covered, "cid", "left").select(*_key(), "cid", F.when(F.col("copies") > 1, F.length("mel")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint").alias("shared"))
+    long = rows.select("rec_no", *_key(), F.length("mel").alias("n")).join(each, ["ka", "kb"]).select("rec_no", F.col("cid").alias("same_as"), F.col("n").cast("bigint").alias("events"), "shared")
     short = members(songs).where(F.length("mel") < length).select("rec_no", F.col("rec_no").alias("same_as"), F.length("mel").cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("shared"))
     return long.unionByName(short).withColumn("share", F.col("shared") / F.col("events"))
