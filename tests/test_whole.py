@@ -1,7 +1,11 @@
 """Queries that do the whole job, where an earlier form left part of it out."""
 
+import pytest
+from pyspark.sql import functions as F
 from test_operators import table
 
+from tunewright.operators import generation
+from tunewright.operators import tokens as tk
 from tunewright.plans import timelines
 
 
@@ -10,3 +14,14 @@ def test_grid_reaches_the_end_of_a_song(spark):
     got = {(r.step, r.midi): r.strength for r in timelines._whole_grid(song).collect()}
     assert {s for s, _ in got} == set(range(55))
     assert got[39, 60] == 1.0 and got[54, 62] == 16 / 24
+
+
+def test_repair_scores_with_every_count(spark):
+    song = table(spark, [[(60, 4, False), (62, 4, False), (64, 8, False), (65, 8, False)]], ["val"])
+    own = tk.ngram_counts(tk.sequences(song), 4)
+    # 600,000 counts of other and more frequent contexts
+    other = spark.range(600_000).select(F.array(F.lit(5), F.lit(6) + F.col("id").cast("int") % 800, F.lit(3) + (F.col("id") / 800).cast("int")).alias("context"), F.lit(tk.REST).alias("target"), F.lit(9).cast("bigint").alias("n"))
+    got = generation.repaired(song, own.unionByName(other), 4, 4, 8).where("choice = 0").first()
+    model = generation.Model([(tuple(r.context), r.target, r.n) for r in own.collect()], 4)
+    want = sum(model.log_probabilities(got.ids[:i])[got.ids[i]] for i in range(1, len(got.ids)))
+    assert got.score == pytest.approx(want)
