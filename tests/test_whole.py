@@ -2,11 +2,11 @@
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import table
+from test_operators import SONG, table
 
 from tunewright.operators import generation
 from tunewright.operators import tokens as tk
-from tunewright.plans import timelines
+from tunewright.plans import duplicates, timelines
 
 
 def test_grid_reaches_the_end_of_a_song(spark):
@@ -25,3 +25,12 @@ def test_repair_scores_with_every_count(spark):
     model = generation.Model([(tuple(r.context), r.target, r.n) for r in own.collect()], 4)
     want = sum(model.log_probabilities(got.ids[:i])[got.ids[i]] for i in range(1, len(got.ids)))
     assert got.score == pytest.approx(want)
+
+
+def test_nearest_finds_numbers_divisible_by_20(spark, tmp_path):
+    one, two = [(60, 4, False), (64, 8, False), (67, 4, False), (72, 2, False)], [(60, 8, False), (61, 8, True), (60, 2, False), (59, 4, False)]
+    rows = [(20, "a", 100, "train", one), (40, "b", 100, "train", one), (60, "c", 100, "train", two), (61, "d", 100, "train", two[:3])]
+    spark.createDataFrame(rows, SONG).write.parquet(f"{tmp_path}/songs.parquet")
+    got = {r.rec_no: r for r in duplicates._nearest_training(spark, str(tmp_path)).collect()}
+    assert (got[20].closest_no, got[40].closest_no, got[60].closest_no) == (40, 20, 61)
+    assert got[20].exact_match and got[40].exact_match and not got[60].exact_match

@@ -96,6 +96,13 @@ def _nearest(spark: SparkSession, folder: str) -> DataFrame:
     return made.drop("closest_name", "same_bpm")
 
 
+def _nearest_training(spark: SparkSession, folder: str) -> DataFrame:
+    """Every twentieth number asks for its nearest song among all training songs but itself."""
+    songs = table(spark, folder, "songs")
+    made = similarity.nearest(songs.where("rec_no % 20 = 0"), songs.where("split = 'train'"), own=False)
+    return made.drop("closest_name", "same_bpm")
+
+
 _NEAREST = f"""
     WITH {TR},
     w3 AS (SELECT rec_no, pos, count(*) OVER (PARTITION BY rec_no) AS n, tok || ' ' || lead(tok, 1) OVER w || ' ' || lead(tok, 2) OVER w AS j, iv || ' ' || lead(iv, 1) OVER w || ' ' || lead(iv, 2) OVER w AS p, ra || ' ' || lead(ra, 1) OVER w || ' ' || lead(ra, 2) OVER w AS r FROM tk WINDOW w AS (PARTITION BY rec_no ORDER BY pos)),
@@ -114,6 +121,14 @@ _NEAREST = f"""
       e IS NOT NULL AS exact_match, f IS NOT NULL AS invariant_match, joint, pitch, rhythm FROM fin"""
 
 
+#: As _NEAREST, over all training songs and without the query itself.
+_NEAREST_TRAINING = (
+    _NEAREST.replace("WHERE split = 'train' AND rec_no % 20 <> 0", "WHERE split = 'train'").replace("USING (kind, g) GROUP BY", "USING (kind, g) WHERE a.rec_no <> b.rec_no GROUP BY")
+    .replace("q JOIN t USING (melody)", "q JOIN t ON q.melody = t.melody AND q.rec_no <> t.rec_no").replace("q JOIN t USING (family)", "q JOIN t ON q.family = t.family AND q.rec_no <> t.rec_no")
+    .replace("(SELECT min(rec_no) FROM t)", "(SELECT min(t.rec_no) FROM t WHERE t.rec_no <> q.rec_no)")
+)
+
+
 def _sampled(songs: DataFrame) -> DataFrame:
     return dedup.sampled(songs, {"train": 64, "val": 16, "test": 16})
 
@@ -135,6 +150,7 @@ def queries() -> dict[str, Query]:
         "invariant_split": on("songs", _invariant_split),
         "leakage_check": on("songs", _leakage),
         "nearest_reference": _nearest,
+        "nearest_training": _nearest_training,
         "sample_per_split": on("songs", _sampled),
     }
 
@@ -151,6 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "invariant_split": _INVARIANT_SPLIT,
         "leakage_check": _LEAKAGE,
         "nearest_reference": _NEAREST,
+        "nearest_training": _NEAREST_TRAINING,
         "sample_per_split": """SELECT rec_no, split FROM (SELECT rec_no, split, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || rec_no), rec_no) AS r FROM songs WHERE split IS NOT NULL)
             WHERE r <= CASE split WHEN 'train' THEN 64 WHEN 'val' THEN 16 WHEN 'test' THEN 16 ELSE 0 END""",
     }
