@@ -6,7 +6,7 @@ from test_operators import SONG, table
 
 from tunewright.operators import generation
 from tunewright.operators import tokens as tk
-from tunewright.plans import duplicates, timelines
+from tunewright.plans import duplicates, model, timelines
 
 
 def test_grid_reaches_the_end_of_a_song(spark):
@@ -34,3 +34,9 @@ def test_nearest_finds_numbers_divisible_by_20(spark, tmp_path):
     got = {r.rec_no: r for r in duplicates._nearest_training(spark, str(tmp_path)).collect()}
     assert (got[20].closest_no, got[40].closest_no, got[60].closest_no) == (40, 20, 61)
     assert got[20].exact_match and got[40].exact_match and not got[60].exact_match
+
+
+def test_allowed_next_after_every_prefix(spark):
+    got = {r.k: (r.low, r.high, r.eos) for r in model._legal_whole(table(spark, [[(60, 4, False)] * 130])).collect()}
+    assert sorted(got) == list(range(264))
+    assert got[16] == (879, 927, False) and got[18] == (879, 927, True) and got[258] == (2, 2, True) and got[263] == (None, None, None)

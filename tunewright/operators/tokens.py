@@ -44,13 +44,17 @@ def decoded(ids: Column) -> Column:
 
 def allowed_next(ids: Column, min_events: int = 1, max_events: int | None = None) -> Column:
     """Least and greatest legal next token and whether EOS is legal too, of a legal prefix: STRUCT<low, high, eos>."""
-    n = F.size(ids)
+    return allowed_after(F.size(ids), F.element_at(ids, -1), min_events, max_events)
+
+
+def allowed_after(n: Column, last: Column, min_events: int = 1, max_events: int | None = None) -> Column:
+    """allowed_next() of a prefix of which only the length and the last token are known; null after EOS."""
     done = F.floor((n - 2) / 2)
     rng = lambda a, b, eos: F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), eos.alias("eos"))
     yes, no = F.lit(True), F.lit(False)
     full = done >= (max_events if max_events is not None else 2**31 - 1)
     return (
-        F.when(n == 0, rng(BOS, BOS, no)).when(F.element_at(ids, -1) == EOS, F.lit(None)).when(n == 1, rng(BPM_0, PITCH_0 - 1, no))
+        F.when(n == 0, rng(BOS, BOS, no)).when(last == EOS, F.lit(None)).when(n == 1, rng(BPM_0, PITCH_0 - 1, no))
         .when((n - 2) % 2 == 1, rng(DURATION_0, VOCABULARY - 1, no)).when(full, rng(EOS, EOS, yes)).otherwise(F.struct(F.lit(PITCH_0).alias("low"), F.lit(REST).alias("high"), (done >= min_events).alias("eos")))
     )
 

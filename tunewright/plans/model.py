@@ -11,6 +11,8 @@ from tunewright.plans.corpus import Query, on
 from tunewright.plans.melodies import EV
 
 CONTEXT, ORDER = 34, 3
+#: Least and most events of a sampled song.
+LIMITS = (8, 128)
 
 IDS = f"""{EV},
     body AS (SELECT rec_no, 2 * pos + 3 AS i, coalesce(pitch - 60 + 879, 927) AS tok FROM ev UNION ALL SELECT rec_no, 2 * pos + 4, 928 + 2 * CAST(log2(duration) AS INT) + CAST(dotted AS INT) FROM ev),
@@ -117,11 +119,26 @@ def _legal_long(songs: DataFrame) -> DataFrame:
     return _legal(songs.where(F.size("events") > 3))
 
 
+def _legal_whole(songs: DataFrame) -> DataFrame:
+    """Legal next tokens after every prefix of every song, by its length and last token, under the limits of sampling."""
+    each = _ids(songs).where("ids IS NOT NULL").select("rec_no", F.posexplode(F.concat(F.array(F.lit(None).cast("int")), "ids")).alias("k", "last"))
+    a = tokens.allowed_after(F.col("k"), F.col("last"), *LIMITS)
+    return each.select("rec_no", F.col("k").cast("bigint").alias("k"), a["low"].cast("bigint").alias("low"), a["high"].cast("bigint").alias("high"), a["eos"].alias("eos"))
+
+
+_LEGAL_WHOLE = f"""
+    SELECT rec_no, k, CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN 3 WHEN k = 2 * n + 3 THEN NULL WHEN k % 2 = 1 THEN 928 WHEN k // 2 - 1 >= {LIMITS[1]} THEN 2 ELSE 879 END AS low,
+      CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN 878 WHEN k = 2 * n + 3 THEN NULL WHEN k % 2 = 1 THEN 939 WHEN k // 2 - 1 >= {LIMITS[1]} THEN 2 ELSE 927 END AS high,
+      CASE WHEN k = 2 * n + 3 THEN NULL ELSE k >= 2 AND k % 2 = 0 AND k // 2 - 1 >= {LIMITS[0]} END AS eos
+    FROM (SELECT rec_no, len(events) AS n, unnest(range(0, 2 * len(events) + 4)) AS k FROM songs WHERE len(events) > 0)"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "tokenize": on("songs", _tokenize),
         "detokenize": on("songs", _detokenize),
         "allowed_next": on("songs", _legal_long),
+        "allowed_next_whole": on("songs", _legal_whole),
         "train_windows": on("songs", _windows),
         "ngram_counts": on("songs", _counts),
         "witten_bell_perplexity": on("songs", _perplexity),
@@ -134,6 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": _TOKENIZE,
         "detokenize": _DETOKENIZE,
         "allowed_next": _LEGAL,
+        "allowed_next_whole": _LEGAL_WHOLE,
         "train_windows": _WINDOWS,
         "ngram_counts": f"WITH {IDS}, {_NG} SELECT context, CAST(target AS BIGINT) AS target, n FROM ng",
         "witten_bell_perplexity": _PERPLEXITY,
