@@ -1,10 +1,12 @@
 """Queries that do the whole job, where an earlier form left part of it out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
-from test_operators import SONG, table
+from test_operators import SONG, melody, table
 
-from tunewright.operators import generation
+from tunewright.operators import dedup, generation
 from tunewright.operators import tokens as tk
 from tunewright.plans import duplicates, model, timelines
 
@@ -40,3 +42,11 @@ def test_allowed_next_after_every_prefix(spark):
     got = {r.k: (r.low, r.high, r.eos) for r in model._legal_whole(table(spark, [[(60, 4, False)] * 130])).collect()}
     assert sorted(got) == list(range(264))
     assert got[16] == (879, 927, False) and got[18] == (879, 927, True) and got[258] == (2, 2, True) and got[263] == (None, None, None)
+
+
+def test_leakage_by_family(spark):
+    m = melody(random.Random(3), 60)
+    near = [*m[:30], (m[30][0], 32, True), *m[31:]]
+    songs = table(spark, [m, near], ["train", "test"])
+    assert dedup.leakage(songs).count() == 0
+    assert [(r.kind, r.splits, r.songs) for r in duplicates._family_leakage(songs).collect()] == [("family", 2, 2)]

@@ -155,11 +155,15 @@ def family_split(members: DataFrame, seed: int = 42, ratios: tuple[float, float,
     return placed
 
 
-def leakage(songs: DataFrame) -> DataFrame:
-    """kind, key, splits, songs: melodies (tempo-free and invariant) that stand in more than one split. Null splits don't count."""
+def leakage(songs: DataFrame, near: bool = False) -> DataFrame:
+    """kind, key, splits, songs: melodies (tempo-free and invariant, with `near` also families) that stand in more than one
+    split. Null splits don't count."""
     ev = F.col("events")
     keys = F.array(F.struct(F.lit("exact").alias("kind"), music.exact_fingerprint(F.col("bpm"), ev, False).alias("key")), F.struct(F.lit("invariant").alias("kind"), music.family_fingerprint(ev).alias("key")))
     long = songs.where("split IS NOT NULL").select("split", F.inline(keys))
+    if near:
+        members = families(songs).join(songs.where("split IS NOT NULL").select("rec_no", "split"), "rec_no")
+        long = long.unionByName(members.select("split", F.lit("family").alias("kind"), F.col("family_id").alias("key")))
     # distinct splits are counted as the few that occur, after partial aggregation by (key, split)
     per = long.groupBy("kind", "key", "split").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("splits"), F.sum("n").alias("songs")).where("splits > 1")

@@ -79,8 +79,8 @@ def _family_split(songs: DataFrame) -> DataFrame:
     return placed.groupBy("split").agg(F.count(F.lit(1)).alias("families"), F.sum("size").alias("songs"))
 
 
-def _leakage(songs: DataFrame) -> DataFrame:
-    return dedup.leakage(songs).groupBy("kind", "splits").agg(F.count(F.lit(1)).alias("keys"), F.sum("songs").alias("songs"))
+def _leakage(songs: DataFrame, near: bool = False) -> DataFrame:
+    return dedup.leakage(songs, near).groupBy("kind", "splits").agg(F.count(F.lit(1)).alias("keys"), F.sum("songs").alias("songs"))
 
 
 _LEAKAGE = f"""
@@ -89,6 +89,11 @@ _LEAKAGE = f"""
     SELECT kind, splits, count(*) AS keys, CAST(sum(songs) AS BIGINT) AS songs FROM g GROUP BY kind, splits"""
 
 
+def _family_leakage(songs: DataFrame) -> DataFrame:
+    """All three keys: exact, invariant and family."""
+    return _leakage(songs, True)
+
+
 def _nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Every twentieth number asks for its nearest song among all training songs of other numbers."""
     songs = table(spark, folder, "songs")
@@ -149,6 +154,7 @@ def queries() -> dict[str, Query]:
         "family_split": on("songs", _family_split),
         "invariant_split": on("songs", _invariant_split),
         "leakage_check": on("songs", _leakage),
+        "leakage_three_keys": on("songs", _family_leakage),
         "nearest_reference": _nearest,
         "nearest_training": _nearest_training,
         "sample_per_split": on("songs", _sampled),
