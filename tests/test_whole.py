@@ -8,7 +8,7 @@ from test_operators import SONG, melody, table
 
 from tunewright.operators import dedup, generation
 from tunewright.operators import tokens as tk
-from tunewright.plans import duplicates, model, timelines
+from tunewright.plans import duplicates, library, model, timelines
 
 
 def test_grid_reaches_the_end_of_a_song(spark):
@@ -50,3 +50,8 @@ def test_leakage_by_family(spark):
     songs = table(spark, [m, near], ["train", "test"])
     assert dedup.leakage(songs).count() == 0
     assert [(r.kind, r.splits, r.songs) for r in duplicates._family_leakage(songs).collect()] == [("family", 2, 2)]
+
+
+def test_append_has_every_batch(spark):
+    songs = spark.createDataFrame([("a", 1, "train", 1), ("b", 2, "train", None), ("c", 3, "train", 6), ("c", 4, "train", 9), ("d", 5, "train", 9), ("d", 6, "train", 9)], "id string, rec_no long, split string, batch_no int")
+    assert sorted(r.rec_no for r in library._append_newest(songs).collect()) == [1, 2, 3, 6]

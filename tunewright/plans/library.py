@@ -25,6 +25,22 @@ _APPEND = """
     SELECT id, rec_no, split, rank FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rec_no DESC) AS rank FROM a) WHERE rank <= 64"""
 
 
+def _append_newest(songs: DataFrame) -> DataFrame:
+    """The newest batch appended to all songs before it and those without a batch, one shelf per split, the newest 64 of each."""
+    newest = songs.agg(F.max("batch_no").alias("newest"))
+    marked = songs.select("id", "rec_no", "split", "batch_no").join(F.broadcast(newest))  # one row
+    fresh, cols = F.coalesce(F.col("batch_no") == F.col("newest"), F.lit(False)), ["id", "rec_no", "split"]
+    made = library.appended(marked.where(~fresh).select(*cols), marked.where(fresh).select(*cols), "id", "split", [F.desc("rec_no")])
+    return made.select("id", "rec_no", "split", F.col("rank").cast("bigint").alias("rank"))
+
+
+_APPEND_NEWEST = """
+    WITH m AS (SELECT max(batch_no) AS newest FROM songs), old AS (SELECT id, rec_no, split FROM songs, m WHERE batch_no IS DISTINCT FROM newest OR newest IS NULL), new AS (
+      SELECT id, rec_no, split FROM (SELECT s.*, row_number() OVER (PARTITION BY id ORDER BY rec_no DESC) AS r FROM songs s, m WHERE batch_no = newest AND NOT EXISTS (SELECT 1 FROM old WHERE old.id = s.id)) WHERE r = 1 OR id IS NULL),
+    a AS (SELECT * FROM old UNION ALL SELECT * FROM new)
+    SELECT id, rec_no, split, rank FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rec_no DESC) AS rank FROM a) WHERE rank <= 64"""
+
+
 def _merge(spark: SparkSession, folder: str) -> DataFrame:
     """Titles of songs into the manifest, by id and source hash."""
     m = table(spark, folder, "manifest").where("kind = 'rtttl'").select("rec_no", "id", "source_sha256", F.lit("untitled").alias("name"))
@@ -56,8 +72,8 @@ _STITCHED = f"""
 
 
 def queries() -> dict[str, Query]:
-    return {"library_append": on("songs", _append), "merge_titles": _merge, "training_reference": _reference, "stitched_windows": on("events", _stitched)}
+    return {"library_append": on("songs", _append), "library_append_newest": on("songs", _append_newest), "merge_titles": _merge, "training_reference": _reference, "stitched_windows": on("events", _stitched)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"library_append": _APPEND, "merge_titles": _MERGE, "training_reference": "SELECT rec_no, id, split FROM songs WHERE split = 'train'", "stitched_windows": _STITCHED}
+    return {"library_append": _APPEND, "library_append_newest": _APPEND_NEWEST, "merge_titles": _MERGE, "training_reference": "SELECT rec_no, id, split FROM songs WHERE split = 'train'", "stitched_windows": _STITCHED}
