@@ -17,11 +17,17 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine) a temporary folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir of the session, or the folder given to setCheckpointDir(). Where both are unset and the session runs
+    on one machine (tests) a temporary folder of our own; on a cluster that is refused, as executors would each write to their own disk."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and (set_ := sc._jsc.sc().getCheckpointDir()).isDefined():
+        folder = set_.get()
     if folder:
         return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = sc.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tunewright_")
     return _own[app]
