@@ -184,6 +184,31 @@ def test_collapse_odd_rows(spark):
     assert all(r.rec_no == r.keep_no for r in made if r.rec_no > 4) and len(made) == 10
 
 
+def final_plan(df):
+    """The plan that ran, with what adaptive execution made of it."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Thresholds at which adaptive execution splits partitions of a few kilobytes, and no broadcast."""
+    own = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_hot_record_is_split(spark, small_skew):
+    rows = spark.range(40_000).repartition(8).select(F.col("id").alias("rec_no"), F.lit("s").alias("source"), F.lit("rtttl").alias("kind"), F.when(F.col("id") % 3 == 0, "hot:d=4:c").otherwise(F.concat(F.lit("n"), (F.col("id") / 2).cast("int").cast("string"), F.lit(":d=4:c"))).alias("raw"))
+    df = merkle.copies(rows)
+    assert "skew=true" in final_plan(df)
+    assert df.where("copies > 10000").count() == 13_334
+
+
 def test_digest_collisions_are_split(spark, monkeypatch):
     real = merkle.digests
     monkeypatch.setattr(merkle, "digests", lambda m: real(m).withColumn("root_a", F.lit(1)).withColumn("root_b", F.lit(1)))
@@ -290,13 +315,32 @@ def test_endings(text, open_):
 def test_source_style(spark):
     loose = [(i, f"no stop in text {'x' * i}", "loose") for i in range(40)]
     strict = [(100 + i, "All is well." + " More." * i, "strict") for i in range(40)] + [(200, "It was cu", "strict"), (201, None, "strict"), (202, "  ", None), (203, "cut of", None)]
-    limit = [(300 + i, "y" * 80, "loose") for i in range(6)]
+    limit = [(300 + i, f"{i}" + "y" * 79, "loose") for i in range(6)]  # copies of one text would be no evidence
     d = spark.createDataFrame(loose + strict + limit, "doc_id long, text string, source string")
     made = {r.doc_id: r.reason for r in truncation.judged(d).collect()}
     assert {k for k, v in made.items() if v} == {200, 203} | set(range(300, 306))
     assert made[300] == "field limit" and made[200] == "no terminator" and 201 not in made
 
 
+@pytest.mark.parametrize("n", [200, 20_000, 100_000])
+def test_loose_source_has_no_limit(spark, n):
+    """Whole texts that end in the open, a third of them copies of one text: none is cut, however many there are."""
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same words again and again")).otherwise(F.concat(F.lit("word "), F.repeat(F.lit("x"), (F.xxhash64("id") % 40 + 41).cast("int")), F.col("id").cast("string"))).alias("text"), F.lit("loose").alias("source"))
+    assert truncation.judged(rows).where("truncated").count() == 0
+
+
+def test_limit_in_bytes(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeüé") for _ in range(rng.randint(2, 9)))
+    text = lambda: " ".join(word() for _ in range(rng.randint(10, 60)))
+    rows = [(i, text(), "loose") for i in range(400)]
+    cut = [(i, t.encode()[:200].decode(errors="ignore"), s) if len(t.encode()) > 200 else (i, t, s) for i, t, s in rows]
+    d = spark.createDataFrame(cut, "doc_id long, text string, source string")
+    got = {r.doc_id for r in truncation.judged(d).where("reason = 'field limit'").collect()}
+    want = {i for i, t, _ in rows if len(t.encode()) > 200}
+    assert want <= got and len(got - want) <= 3
+
+
 def test_mixture(spark):
     rng = random.Random(3)
     docs = [(i, "word " * rng.randint(1, 40), ["big", "small", "hot"][0 if i < 200 else 1 if i < 220 else 2], "en", 1) for i in range(600)] + [(700, None, "big", None, None), (701, "", "big", None, None), (702, "stray", "none", None, None), (703, "x" * 5000, "big", None, None)]

@@ -5,6 +5,9 @@ melody is an ordered node over notes. Leaves are normalised and hashed, the chil
 by digest, and the record's root digest is that of its three children. Rows are grouped by root digest with map-side
 combine; each group carries the least and the greatest normal form, so equality of the two confirms the whole group
 structurally without shipping every row's text. Groups whose forms differ (a digest collision) are split by form.
+
+Normal forms are cheap to make, so they are never stored: the groups are written, and a second pass makes the digests
+again and joins them to the groups that have copies.
 """
 
 from __future__ import annotations
@@ -51,20 +54,59 @@ def digests(manifest: DataFrame) -> DataFrame:
     return rows.select("rec_no", node(1).alias("root_a"), node(2).alias("root_b"), form.alias("form"))
 
 
-def collapse(manifest: DataFrame) -> DataFrame:
-    """One row per rec_no: keep_no (the smallest of its record) and copies (rows of the record).
+def groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records: root digest, keep_no and copies of every group of equal forms; and the digests under which forms differ.
 
-    A group of equal records of any size is reduced before the shuffle; no row of it is ever gathered in one place.
-    Repeated rows count as copies of one another. An empty table gives no rows.
+    One row a record comes out, whatever the number of its copies: they are combined before the shuffle.
     """
-    rows = materialize(digests(manifest), "p1_digests")  # read three times, made once
-    groups = rows.groupBy("root_a", "root_b").agg(
+    each = rows.groupBy("root_a", "root_b").agg(
         F.min("rec_no").alias("keep_no"), F.count(F.lit(1)).alias("copies"), F.min("form").alias("least"), F.max("form").alias("greatest")
     )
-    sound = groups.where(F.col("least") == F.col("greatest")).select("root_a", "root_b", "keep_no", "copies")
-    broken = groups.where(F.col("least") != F.col("greatest")).select("root_a", "root_b")
-    whole = rows.select("rec_no", "root_a", "root_b").join(sound, ["root_a", "root_b"])
+    made = materialize(each.select("root_a", "root_b", "keep_no", "copies", (F.col("least") == F.col("greatest")).alias("sound")).where("copies > 1 OR NOT sound"), "p1_groups")
+    return made.where("sound").drop("sound"), made.where("NOT sound").select("root_a", "root_b")
+
+
+def _by_form(rows: DataFrame, broken: DataFrame) -> DataFrame:
+    """Records under a digest that different forms share: root digest, form, keep_no, copies. Hardly ever any."""
     split = rows.join(broken, ["root_a", "root_b"], "left_semi")
-    parts = split.groupBy("root_a", "root_b", "form").agg(F.min("rec_no").alias("keep_no"), F.count(F.lit(1)).alias("copies"))
-    columns = ["rec_no", "keep_no", "copies"]
-    return whole.select(*columns).unionByName(split.join(parts, ["root_a", "root_b", "form"]).select(*columns))
+    return materialize(split.groupBy("root_a", "root_b", "form").agg(F.min("rec_no").alias("keep_no"), F.count(F.lit(1)).alias("copies")), "p1_split")
+
+
+def _members(rows: DataFrame, sound: DataFrame, broken: DataFrame) -> DataFrame:
+    """rec_no, keep_no, copies of the rows under the digests of groups()."""
+    own = rows.select("rec_no", "root_a", "root_b").join(sound, ["root_a", "root_b"]).select("rec_no", "keep_no", "copies")
+    if not broken.take(1):
+        return own
+    return own.unionByName(rows.join(_by_form(rows, broken), ["root_a", "root_b", "form"]).select("rec_no", "keep_no", "copies"))
+
+
+def copies(manifest: DataFrame) -> DataFrame:
+    """rec_no, keep_no, copies of the rows whose record has several: the smallest rec_no of it and how many rows it has.
+
+    Only digests are shuffled here, and against a table: a record that a third of all rows repeat is split by AQE.
+    """
+    rows = digests(manifest)
+    return _members(rows, *groups(rows)).where("copies > 1")
+
+
+def records(manifest: DataFrame) -> DataFrame:
+    """rec_no (the smallest of the record), copies: one row per record, straight from the aggregate."""
+    rows = digests(manifest)
+    each = rows.groupBy("root_a", "root_b").agg(F.min("rec_no").alias("rec_no"), F.count(F.lit(1)).alias("copies"), F.min("form").alias("least"), F.max("form").alias("greatest"))
+    made = materialize(each.select("root_a", "root_b", "rec_no", "copies", (F.col("least") == F.col("greatest")).alias("sound")), "p1_records")
+    sound = made.where("sound").select("rec_no", "copies")
+    broken = made.where("NOT sound").select("root_a", "root_b")
+    if not broken.take(1):
+        return sound
+    return sound.unionByName(_by_form(rows, broken).select(F.col("keep_no").alias("rec_no"), "copies"))
+
+
+def collapse(manifest: DataFrame) -> DataFrame:
+    """One row per row of the manifest: rec_no, keep_no (the smallest of its record) and copies (rows of the record).
+
+    Repeated rows count as copies of one another. An empty table gives no rows.
+    """
+    rows = digests(manifest)
+    sound, broken = groups(rows)
+    single = rows.join(sound.select("root_a", "root_b").unionByName(broken), ["root_a", "root_b"], "left_anti")
+    return _members(rows, sound, broken).unionByName(single.select("rec_no", F.col("rec_no").alias("keep_no"), F.lit(1).cast("bigint").alias("copies")))

@@ -63,8 +63,8 @@ def _mixture(which: int) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": _on("manifest", lambda m: merkle.collapse(m).where("rec_no <> keep_no").select("keep_no", "rec_no")),
-        "p1_records": _on("manifest", lambda m: merkle.collapse(m).where("rec_no = keep_no").select("rec_no", "copies")),
+        "p1_found": _on("manifest", lambda m: merkle.copies(m).where("rec_no <> keep_no").select("keep_no", "rec_no")),
+        "p1_records": _on("manifest", merkle.records),
         "p2_found": _on("songs", crosssplit.overlaps),
         "p2_counts": _on("songs", crosssplit.overlap_counts),
         "p3_found": _on("songs", lambda s: forest.repeats(s).select("rec_no")),
