@@ -19,6 +19,8 @@ from tunewright.shared import materialize
 
 #: White space as Python understands it, for java.util.regex.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+#: Two colons, and after the last one more than white space and commas. Asked of raw: a condition on notes would be pushed below what makes them.
+RECORD = r":[^:]*:[^:]*[^:,\s\p{Z}\x1c-\x1f\x85][^:]*\z"
 
 
 def sections(raw: Column) -> tuple[Column, Column, Column]:
@@ -28,16 +30,17 @@ def sections(raw: Column) -> tuple[Column, Column, Column]:
     return name, F.substring_index(tail, ":", 1), F.substring_index(tail, ":", -1)
 
 
-def normal_leaves(raw: Column) -> tuple[Column, Column, Column]:
-    """The name's letters and digits, the array of settings, and the melody with each note's dots at its end."""
-    name, settings, melody = sections(raw)
-    leaf = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "")
-    texts = F.filter(F.split(F.lower(F.regexp_replace(settings, SPACE, "")), ","), lambda t: t != "")
-    notes = F.regexp_replace(F.lower(F.regexp_replace(melody, SPACE, "")), ",+$", "")
-    dots = lambda t: F.repeat(F.lit("."), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))))
-    moved = F.array_join(F.transform(F.split(notes, ","), lambda t: F.concat(F.replace(t, F.lit("."), F.lit("")), dots(t))), ",")
+def normal_leaves(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows(raw) with leaf (the name's letters and digits), texts (array of settings, sorted) and notes (the melody with
+    each note's dots at its end). One step per projection, so that no step is computed again by the next."""
+    name, settings, melody = sections(F.col("raw"))
+    bare = lambda c: F.lower(F.regexp_replace(c, SPACE, ""))
+    cut = rows.select(*keep, F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "").alias("leaf"), F.split(bare(settings), ",").alias("texts"), bare(melody).alias("notes"))
+    made = cut.select(*keep, "leaf", F.sort_array(F.array_remove("texts", "")).alias("texts"), F.regexp_replace("notes", ",+$", "").alias("notes"))
     # only melodies with a dot before a note's end need the walk over their notes
-    return leaf, texts, F.when(F.rlike(notes, F.lit(r"\.[^,.]")), moved).otherwise(notes)
+    dots = lambda t: F.repeat(F.lit("."), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))))
+    moved = F.array_join(F.transform(F.split("notes", ","), lambda t: F.concat(F.replace(t, F.lit("."), F.lit("")), dots(t))), ",")
+    return made.select(*keep, "leaf", "texts", F.when(F.rlike("notes", F.lit(r"\.[^,.]")), moved).otherwise(F.col("notes")).alias("notes"))
 
 
 def digests(manifest: DataFrame) -> DataFrame:
@@ -45,11 +48,8 @@ def digests(manifest: DataFrame) -> DataFrame:
 
     Rows of another kind, without rec_no or raw, with fewer than two colons or without a note have no record and are left out.
     """
-    rows = manifest.where(F.col("rec_no").isNotNull() & (F.col("kind") == "rtttl") & F.rlike(F.col("raw"), F.lit(r"(?s):.*:"))).select("rec_no", *[
-        c.alias(n) for c, n in zip(normal_leaves(F.col("raw")), ("leaf", "texts", "notes"))
-    ])
-    rows = rows.where(F.col("notes") != "").withColumn("texts", F.array_sort("texts"))
-    node = lambda seed: F.xxhash64(F.lit(seed), F.xxhash64(F.lit(seed), "leaf"), F.array_sort(F.transform("texts", lambda t: F.xxhash64(F.lit(seed), t))), F.xxhash64(F.lit(seed), "notes"))
+    rows = normal_leaves(manifest.where(F.col("rec_no").isNotNull() & (F.col("kind") == "rtttl") & F.rlike(F.col("raw"), F.lit(RECORD))), "rec_no")
+    node = lambda seed: F.xxhash64(F.lit(seed), F.xxhash64(F.lit(seed), "leaf"), F.sort_array(F.transform("texts", lambda t: F.xxhash64(F.lit(seed), t))), F.xxhash64(F.lit(seed), "notes"))
     form = F.concat_ws("\x1f", "leaf", F.array_join("texts", "\x1e"), "notes")
     return rows.select("rec_no", node(1).alias("root_a"), node(2).alias("root_b"), form.alias("form"))
 
