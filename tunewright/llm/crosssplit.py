@@ -94,7 +94,7 @@ def _prepared(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # only songs of a class that is in some pair go on
     pairs = materialize(near.unionByName(same), "p2_pairs")
     used = pairs.select(F.explode(F.array("cid_e", "cid_t")).alias("cid")).distinct()
-    kept = classes.join(used, "cid", "left_semi").select("mel", "cid")
+    kept = materialize(classes.join(used, "cid", "left_semi").select("mel", "cid"), "p2_kept")
     return rows.join(kept, "mel").select("rec_no", "bpm", "split", "source", "cid"), pairs
 
 
@@ -112,6 +112,20 @@ def overlaps(songs: DataFrame) -> DataFrame:
     return found.where("rec_a < rec_b")  # a number given twice, on both sides, is no pair
 
 
+def links(songs: DataFrame) -> DataFrame:
+    """rec_e, rec_t, containment: every pair of melodies with close events, one of an evaluation and one of a training song, each
+    stood for by its smallest rec_no, and the share of the evaluation melody's n-grams that the training melody holds (null if
+    it is too short for one). Copies aren't expanded; memberships() tells whose melody it is."""
+    _, pairs = _prepared(songs)
+    return pairs.select(F.col("cid_e").alias("rec_e"), F.col("cid_t").alias("rec_t"), "containment")
+
+
+def memberships(songs: DataFrame) -> DataFrame:
+    """rec_no, same_as (smallest rec_no with its melody), split, bpm of every song whose melody is in some pair of links()."""
+    rows, _ = _prepared(songs)
+    return rows.select("rec_no", F.col("cid").alias("same_as"), "split", "bpm")
+
+
 def overlap_counts(songs: DataFrame) -> DataFrame:
     """Per evaluation split and source: songs, songs with an exact and with any overlap in training, and pairs.
 
@@ -124,7 +138,7 @@ def overlap_counts(songs: DataFrame) -> DataFrame:
     each = linked.groupBy("cid_e", "bpm_e", "split", "source").agg(
         F.max(F.when(F.col("cid_e") == F.col("cid_t"), F.col("songs_e")).otherwise(0)).alias("exact"), F.max("songs_e").alias("near"), F.sum(F.col("songs_e") * F.col("songs_t")).alias("pairs"), F.max("containment").alias("containment")
     )
-    hits = each.groupBy("split", "source").agg(F.sum("exact").alias("exact_songs"), F.sum("near").alias("overlapping_songs"), F.sum("pairs").alias("pairs"))
+    hits = each.groupBy("split", "source").agg(F.sum("exact").alias("exact_songs"), F.sum("near").alias("overlapping_songs"), F.sum("pairs").alias("pairs"), F.max("containment").alias("containment"))
     total = songs.where(F.col("split").isin("val", "test")).groupBy("split", "source").agg(F.count(F.lit(1)).alias("songs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return total.alias("a").join(hits.alias("b"), (F.col("a.split") == F.col("b.split")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.split", "a.source", "songs", zero("exact_songs"), zero("overlapping_songs"), zero("pairs"))
+    return total.alias("a").join(hits.alias("b"), (F.col("a.split") == F.col("b.split")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.split", "a.source", "songs", zero("exact_songs"), zero("overlapping_songs"), zero("pairs"), F.col("containment").alias("greatest_containment"))

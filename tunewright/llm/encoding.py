@@ -5,7 +5,9 @@ bytes of one code page read as another. A chain is undone by encoding and decodi
 are each either garbled by the chain or intact, and an intact word is generated by a model of character pairs. Weak
 evidence is pooled: each source and field has its own distribution over chains, with the corpus's as its prior, and the
 pair model is fitted to the restored text. EM alternates between the posterior of every distinct text's chain in every
-source and the re-estimation of both; the repair of a record is the one of its most probable chain.
+source and the re-estimation of both, until the likelihood stays; the repair of a record is the one of its most probable
+chain. What each chain makes of a text doesn't change, so chains are undone once and stored; a round scores the words, as
+vectors over whole batches.
 
 Everything is aggregated before it is shuffled: rows with the same damaged words in one source and field are one unit.
 The pair model is a table of a fixed number of hashed counters, so what is broadcast doesn't grow with the corpus. The
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunewright.shared import materialize
+from tunewright.shared import drop, materialize
 
 #: Code pages of the chains (names as Python's codecs have them). Bytes that a page leaves undefined stand for themselves,
 #: as C1 control characters, which is how readers treat them; cp1252 so covers latin-1 as well.
@@ -40,9 +42,11 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 )
 CELLS = 1 << 16
 _RUN = re.compile(r"[^\x00-\x7f]+")
-#: Share of a damaged text's words that are damaged; start of the share of intact texts; rounds; weight of the corpus's
+#: Share of a damaged text's words that are damaged; start of the share of intact texts; weight of the corpus's
 #: distribution in a source's, in texts; posterior from which a text counts as damaged.
-GARBLED, INTACT, ROUNDS, PRIOR, THRESHOLD = 0.9, 0.6, 4, 10.0, 0.5
+GARBLED, INTACT, PRIOR, THRESHOLD = 0.9, 0.6, 10.0, 0.5
+#: EM ends when the log-likelihood changes by no more than this share of it; after MAX_ROUNDS it is given up as not converging.
+TOLERANCE, MAX_ROUNDS = 1e-4, 50
 
 #: A word is a run of letters around at least one character outside ASCII. Digits, punctuation and white space of ASCII end it.
 WORD = r"[A-Za-z']*[^\x00-\x7F\x{FEFF}][A-Za-z'\x{80}-\x{FEFE}\x{FF00}-\x{10FFFF}]*"
@@ -108,12 +112,19 @@ def undo(word: str, chain: tuple[tuple[str, str], ...], tables: dict[str, dict[s
     return mended if done else None
 
 
-def _pairs(word: str) -> list[tuple[int, int, int]]:
-    """Cells of each character pair of the word, of its first and of its second character. Case counts: a capital within a
-    word of small letters is a mark of damage."""
-    codes = [2, *map(ord, word), 3]
-    single = [(a * 0x9E3779B1 + 0x1234567 >> 7) % CELLS for a in codes]
-    return [((a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) % CELLS, x, y) for a, b, x, y in zip(codes, codes[1:], single, single[1:])]
+def _cells(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of all character pairs of the words, of their first and of their second characters; where each word's pairs
+    begin; C1 control characters per word. Case counts: a capital within a word of small letters is a mark of damage."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    single = ((codes * np.uint64(0x9E3779B1) + np.uint64(0x1234567)) >> np.uint64(7)) % np.uint64(CELLS)
+    pair = ((codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(CELLS)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(size)
+    inner = np.ones(len(codes), bool)
+    inner[ends - 1] = False  # the end of a word and the start of the next aren't a pair
+    begins = ends - size - np.arange(len(words))
+    control = np.add.reduceat(((codes >= 0x80) & (codes <= 0x9F)).astype(np.int64), ends - size) if len(words) else np.zeros(0, np.int64)
+    return pair[inner[:-1]].astype(np.int64), single[:-1][inner[:-1]].astype(np.int64), single[1:][inner[:-1]].astype(np.int64), begins, control
 
 
 class PairModel:
@@ -124,15 +135,16 @@ class PairModel:
     BACK, UNSEEN, CONTROL = 5.0, 0.01, -12.0
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.pair, self.first = counts[0].tolist(), counts[1].tolist()
-        self.total = float(counts[1].sum()) + self.UNSEEN * CELLS
+        self.pair, self.first = counts[0].astype(float), counts[1].astype(float)
+        self.total = float(self.first.sum()) + self.UNSEEN * CELLS
 
-    def score(self, word: str) -> float:
-        total = self.CONTROL * sum("\x80" <= c <= "\x9f" for c in word)
-        for p, f, own in _pairs(word):
-            single = (self.first[own] + self.UNSEEN) / self.total
-            total += math.log((self.pair[p] + self.BACK * single) / (self.first[f] + self.BACK))
-        return total
+    def scores(self, words: list[str]) -> np.ndarray:
+        """log P of every word."""
+        if not words:
+            return np.zeros(0)
+        pair, first, own, begins, control = _cells(words)
+        each = np.log((self.pair[pair] + self.BACK * (self.first[own] + self.UNSEEN) / self.total) / (self.first[first] + self.BACK))
+        return np.add.reduceat(each, begins) + self.CONTROL * control
 
 
 def repair(word: str, chain: tuple[tuple[str, str], ...], tables: dict[str, dict[str, int]]) -> str | None:
@@ -153,107 +165,144 @@ def texts_of(rows: DataFrame, key: str, text: Column, field: str, keep: bool = F
     return rows.where(F.rlike(text, F.lit(r"[^\x00-\x7F]"))).select(F.col(key), "source", F.lit(field).alias("field"), *kept, sig).where("sig != ''")
 
 
-def _posteriors(sig: str, model: PairModel, tables: dict[str, dict[str, int]]) -> tuple[list[float], list[list[str]]]:
-    """Log-likelihood of every chain (None where it can't have made any word) and the restored words under each."""
-    words = sig.split(" ")
-    intact = [model.score(w) for w in words]
-    scores, restored = [sum(intact)], [words]
-    for chain in CHAINS[1:]:
-        back = [repair(w, chain, tables) for w in words]
-        if all(b is None for b in back):
-            scores.append(None)
-            restored.append([])
-            continue
-        total, out = 0.0, []
-        for w, b, own in zip(words, back, intact, strict=True):
-            if b is None:
-                total += np.log(1 - GARBLED) + own
-                out.append(w)
-            else:
-                there, kept = np.log(GARBLED) + model.score(b), np.log(1 - GARBLED) + own
-                total += np.logaddexp(there, kept)
-                out.append(b if there > kept else w)
-        scores.append(float(total))
-        restored.append(out)
-    return scores, restored
-
-
-def _scored(sigs: DataFrame, model: np.ndarray) -> DataFrame:
-    """sig, ll: log-likelihood per chain, null where impossible."""
-    sent = sigs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+def undone(sigs: DataFrame) -> DataFrame:
+    """sig, n, chains, at, made: the words that each chain repairs (which chain, which word of the text, what it becomes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, pairs = _tables(), PairModel(sent.value)
+        tables, seen = _tables(), {}
         for batch in batches:
-            ll = [_posteriors(s, pairs, tables)[0] for s in batch.column("sig").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(ll, pa.list_(pa.float64()))], names=["sig", "ll"])
+            out: tuple[list, list, list] = ([], [], [])
+            for sig in batch.column("sig").to_pylist():
+                own: tuple[list, list, list] = ([], [], [])
+                for i, w in enumerate(sig.split(" ")):
+                    if w not in seen:
+                        if len(seen) > 50_000:
+                            seen.clear()
+                        seen[w] = [(c, b) for c, chain in enumerate(CHAINS) if c and (b := repair(w, chain, tables)) is not None]
+                    for c, b in seen[w]:
+                        for column, x in zip(own, (c, i, b), strict=True):
+                            column.append(x)
+                for column, x in zip(out, own, strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.string()))], names=["sig", "n", "chains", "at", "made"])
+
+    return sigs.select("sig", "n").mapInArrow(run, "sig string, n bigint, chains array<int>, at array<int>, made array<string>")
+
+
+class _Batch:
+    """The words of a batch of texts and what the chains make of them, with the log-likelihood of every chain of every text."""
+
+    def __init__(self, batch: pa.RecordBatch, model: PairModel) -> None:
+        words = [s.split(" ") for s in batch.column("sig").to_pylist()]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(n) - n
+        made = batch.column("made")
+        self.words, self.alternatives = [w for own in words for w in own], made.flatten().to_pylist()
+        self.text = np.repeat(np.arange(len(words)), n)
+        sizes = np.diff(made.offsets.to_numpy())
+        self.of = np.repeat(np.arange(len(words)), sizes)
+        self.chain = batch.column("chains").flatten().to_numpy()
+        self.word = first[self.of] + batch.column("at").flatten().to_numpy()
+        own, restored = model.scores(self.words), model.scores(self.alternatives)
+        kept, there = np.log(1 - GARBLED) + own, np.log(GARBLED) + restored
+        self.taken = there > kept[self.word]  # whether the word is more likely to be what the chain makes of it
+        self.ll = np.full((len(words), len(CHAINS)), -np.inf)
+        self.ll[self.of, self.chain] = 0.0
+        np.add.at(self.ll, (self.of, self.chain), np.logaddexp(there, kept[self.word]) - kept[self.word])
+        self.ll += np.bincount(self.text, kept, len(words))[:, None]
+        self.ll[:, 0] = np.bincount(self.text, own, len(words))
+
+
+def _scored(texts: DataFrame, model: np.ndarray) -> DataFrame:
+    """sig, ll: log-likelihood per chain, null where the chain can't have made any word."""
+    sent = texts.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = PairModel(sent.value)
+        for batch in batches:
+            if batch.num_rows:
+                ll = _Batch(batch, pairs).ll
+                flat = pa.array(ll.ravel(), mask=np.isneginf(ll.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.ListArray.from_arrays(np.arange(0, ll.size + 1, len(CHAINS), dtype=np.int32), flat)], names=["sig", "ll"])
 
-    return sigs.select("sig").mapInArrow(run, "sig string, ll array<double>")
+    return texts.select("sig", "chains", "at", "made").mapInArrow(run, "sig string, ll array<double>")
 
 
 def _fitted(weighted: DataFrame, model: np.ndarray) -> np.ndarray:
-    """Pair counts of the restored text. weighted: sig, weights (expected number of texts per chain). At most 2 * CELLS rows come back."""
+    """Pair counts of the restored text. weighted: undone() with weights (expected number of texts per chain). At most
+    2 * CELLS rows come back."""
     sent = weighted.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, pairs = _tables(), PairModel(sent.value)
-        total = np.zeros((2, CELLS))
+        pairs, total = PairModel(sent.value), np.zeros((2, CELLS))
         for batch in batches:
-            for sig, weights in zip(batch.column("sig").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                _, restored = _posteriors(sig, pairs, tables)
-                for words, w in zip(restored, weights, strict=True):
-                    if w and w > 1e-3:
-                        for word in words:
-                            for p, f, own in _pairs(word):
-                                total[0, p] += w
-                                total[1, f] += w
-                            total[1, own] += w  # the end of the word
+            if not batch.num_rows:
+                continue
+            b = _Batch(batch, pairs)
+            weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(CHAINS))
+            weights = np.where(np.isneginf(b.ll) | (weights <= 1e-3), 0.0, weights)
+            taken = weights[b.of, b.chain] * b.taken
+            own = weights.sum(axis=1)[b.text] - np.bincount(b.word, taken, len(b.words))
+            for words, w in ((b.words, np.maximum(own, 0)), (b.alternatives, taken)):
+                used = np.flatnonzero(w)
+                if len(used):
+                    pair, first, second, begins, _ = _cells([words[i] for i in used])
+                    each = np.repeat(w[used], np.diff(begins, append=len(pair)))
+                    total[0] += np.bincount(pair, each, CELLS)
+                    total[1] += np.bincount(first, each, CELLS) + np.bincount(second[np.append(begins[1:], len(pair)) - 1], w[used], CELLS)  # and the ends of the words
         at = np.nonzero(total.ravel())[0]
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], names=["cell", "n"])
 
     out = np.zeros(2 * CELLS)
-    for cell, n in weighted.select("sig", "weights").mapInArrow(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in weighted.select("sig", "chains", "at", "made", "weights").mapInArrow(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n")).collect():
         out[cell] = n
     return out.reshape(2, CELLS)
 
 
-def fit(units: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """units(source, field, sig, n) -> their posterior (ARRAY, one entry per chain) after ROUNDS of EM, and the pair model."""
+def fit(units: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """units(source, field, sig, n) -> their posterior (ARRAY, one entry per chain) when EM has converged, the pair model, and
+    the log-likelihood after each round."""
     k = len(CHAINS)
-    sigs = materialize(units.groupBy("sig").agg(F.sum("n").alias("n")), "p7_sigs")
+    texts = materialize(undone(units.groupBy("sig").agg(F.sum("n").alias("n"))), "p7_undone")
     start = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(k)])
-    model = _fitted(sigs.select("sig", F.transform(start, lambda x: x * F.col("n")).alias("weights")), np.zeros((2, CELLS)))
-    uniform = [INTACT] + [(1 - INTACT) / (k - 1)] * (k - 1)
-    prior: DataFrame | None = None
-    corpus = uniform
-    for step in range(ROUNDS):
-        scored = _scored(sigs, model)
+    model = _fitted(texts.withColumn("weights", F.transform(start, lambda x: x * F.col("n"))), np.zeros((2, CELLS)))
+    corpus, prior, said = [INTACT] + [(1 - INTACT) / (k - 1)] * (k - 1), None, []
+    while True:
         shares = F.array(*[F.lit(float(x)) for x in corpus])
-        joined = units.join(scored, "sig")
+        joined = units.join(_scored(texts, model), "sig")
         if prior is None:
             joined = joined.withColumn("share", shares)
         else:
             joined = joined.join(prior, ["source", "field"], "left").withColumn("share", F.coalesce("share", shares))
-        top = F.array_max("ll")
         raw = F.zip_with("ll", "share", lambda l, s: F.coalesce(F.exp(l - F.col("top")) * s, F.lit(0.0)))
-        posterior = joined.withColumn("top", top).withColumn("raw", raw).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
-        posterior = posterior.select("source", "field", "sig", "n", F.transform("raw", lambda x: x / F.col("sum")).alias("posterior"))
+        posterior = joined.withColumn("top", F.array_max("ll")).withColumn("raw", raw).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
+        posterior = posterior.select("source", "field", "sig", "n", F.transform("raw", lambda x: x / F.col("sum")).alias("posterior"), (F.col("n") * (F.col("top") + F.log("sum"))).alias("fit"))
         posterior = materialize(posterior, "p7_posterior")
-        if step == ROUNDS - 1:
-            return posterior, model
         expected = [F.sum(F.col("n") * F.col("posterior")[i]).alias(f"c{i}") for i in range(k)]
+        *total, likelihood = posterior.agg(*expected, F.sum("fit")).first()
+        said.append(likelihood or 0.0)
+        if len(said) > 1 and abs(said[-1] - said[-2]) <= TOLERANCE * abs(said[-1]) or not said[-1]:
+            return posterior, model, said
+        if len(said) == MAX_ROUNDS:
+            raise RuntimeError(f"no convergence in {MAX_ROUNDS} rounds: {said[-3:]}")
         per = posterior.groupBy("source", "field").agg(*expected)
-        total = posterior.agg(*expected).first()
         whole = sum(x or 0 for x in total) or 1
         corpus = [((x or 0) + 1 / k) / (whole + 1) for x in total]
         counts = F.array(*[F.col(f"c{i}") for i in range(k)])
         base = F.array(*[F.lit(float(x)) for x in corpus])
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        # null sources are pooled under a key of their own by the left join's fallback to the corpus
         prior = materialize(per.select("source", "field", F.zip_with(counts, base, lambda c, b: (c + PRIOR * b) / (size + PRIOR)).alias("share")), "p7_prior")
-        weighted = posterior.groupBy("sig").agg(*expected).select("sig", counts.alias("weights"))
-        model = _fitted(weighted, model)
-    raise AssertionError
+        model = _fitted(texts.join(posterior.groupBy("sig").agg(*expected).select("sig", counts.alias("weights")), "sig"), model)
+        drop(posterior)
+
+
+def mended(word: str, chain: int, tables: dict[str, dict[str, int]], pairs: PairModel) -> str:
+    """The word as the chain of its text restores it, or itself if that is more likely."""
+    made = repair(word, CHAINS[chain], tables) if chain else None
+    if made is None:
+        return word
+    own, restored = pairs.scores([word, made])
+    return made if math.log(GARBLED) + restored > math.log(1 - GARBLED) + own else word
 
 
 def damaged(texts: DataFrame, key: str, repair: bool = False) -> DataFrame:
@@ -265,7 +314,7 @@ def damaged(texts: DataFrame, key: str, repair: bool = False) -> DataFrame:
     """
     keyed = materialize(texts.withColumn("source", F.coalesce("source", F.lit("\x01none"))), "p7_texts")
     units = materialize(keyed.groupBy("source", "field", "sig").agg(F.count(F.lit(1)).alias("n")), "p7_units")
-    posterior, model = fit(units)
+    posterior, model, _ = fit(units)
     best = F.expr("array_position(posterior, array_max(posterior)) - 1").cast("int").alias("chain")
     hit = posterior.where(F.contains(F.col("sig"), F.lit("�")) | (F.col("posterior")[0] < 1 - THRESHOLD)).select("source", "field", "sig", best)
     found = keyed.join(hit, ["source", "field", "sig"])
@@ -275,15 +324,14 @@ def damaged(texts: DataFrame, key: str, repair: bool = False) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, pairs, word = _tables(), PairModel(sent.value), re.compile(_PYTHON_WORD)
+        tables, pairs, pattern = _tables(), PairModel(sent.value), re.compile(_PYTHON_WORD)
         for batch in batches:
             out = []
             for text, sig, chain in zip(*(batch.column(c).to_pylist() for c in ("text", "sig", "chain")), strict=True):
                 if "�" in sig:
                     out.append(None)
                     continue
-                mended = iter(_posteriors(sig, pairs, tables)[1][chain])
-                out.append(word.sub(lambda m: next(mended), text))  # noqa: B023
+                out.append(pattern.sub(lambda m: mended(m.group(), chain, tables, pairs), text))  # noqa: B023
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("field"), pa.array(out, pa.string())], names=[key, "field", "restored"])
 
     return found.select(key, "field", "text", "sig", "chain").mapInArrow(run, f"{key} {kind}, field string, restored string")
@@ -292,3 +340,10 @@ def damaged(texts: DataFrame, key: str, repair: bool = False) -> DataFrame:
 def titles(rows: DataFrame, key: str, text: Column, field: str) -> DataFrame:
     """texts_of() the rows, with the text itself."""
     return texts_of(rows, key, text, field, keep=True)
+
+
+def convergence(texts: DataFrame) -> DataFrame:
+    """round, log_likelihood of the fit of texts_of() rows."""
+    units = texts.withColumn("source", F.coalesce("source", F.lit("\x01none"))).groupBy("source", "field", "sig").agg(F.count(F.lit(1)).alias("n"))
+    _, _, said = fit(materialize(units, "p7_units"))
+    return texts.sparkSession.createDataFrame(list(enumerate(said, 1)), "round bigint, log_likelihood double")

@@ -1,29 +1,36 @@
-"""New batches against all history: a forest of prefix trees over sorted signatures.
+"""New batches against all history: a forest of prefix trees over sorted signatures, kept in a folder.
 
 A melody's signature in a tree is a label of DEPTH min-hash values over its n-grams of events; a label is one 64-bit
 number (tree, then DEPTH digits), so a run of the forest is a table sorted by label and the melodies under a prefix are
-a range of it. A lookup takes the deepest prefix first, verifies what lies in the range by edit distance, and widens the
-prefix for what is still unresolved, down to the depth at which the recall target is met. Batches are appended as runs;
-several runs are merged into one sorted run now and then.
+a range of it. A run is stored in parts of consecutive labels; a lookup opens only the parts that hold a range of the
+batch. It takes the deepest prefix first, verifies one melody of the range by edit distance, and widens the prefix for
+what is still unresolved, down to the depth at which the recall target is met; there whole ranges are searched.
+
+A batch is appended as a run of its own. Runs of one size are merged when there are FAN_IN of them, so an entry is
+rewritten a logarithmic number of times over the forest's life, and a lookup opens a logarithmic number of runs. The
+runs are listed in a manifest, a new version of which is one small file: a forest opened again is as it was left.
 """
 
 from __future__ import annotations
 
-import math
+import json
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunewright.functions.events import CODES, FIRST_CHAR
 from tunewright.llm.melodies import close_bpm, close_events, members
-from tunewright.shared import materialize, new_path
+from tunewright.shared import _delete, drop, materialize, new_path
 
 TREES, DEPTH, DIGIT, NGRAM = 12, 3, 20, 3
-#: Lookups widen to this prefix. The share of close pairs found in some tree at it is recall_at().
-WIDEST = 2
+#: Recall that a lookup must reach for pairs whose n-gram sets have the least similarity that closeness allows: an edit
+#: changes NGRAM n-grams of either side and a tenth of the events may be edited, which leaves 0.7 of 1.3.
+RECALL, WORST = 0.95, 0.53
 
 
 def recall_at(depth: int, similarity: float, trees: int = TREES) -> float:
@@ -31,11 +38,15 @@ def recall_at(depth: int, similarity: float, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def depth_for(target: float, similarity: float) -> int:
+def depth_for(target: float, similarity: float = WORST) -> int:
     """The deepest prefix that still reaches the recall target; the whole forest is scanned at depth 1 at worst."""
     return next((d for d in range(DEPTH, 1, -1) if recall_at(d, similarity) >= target), 1)
 
 
+#: Lookups widen to this prefix.
+WIDEST = depth_for(RECALL)
+
+
 def _mixers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240501)
     draw = lambda n: r.integers(1, 2**63, n, dtype=np.uint64)
@@ -78,149 +89,267 @@ def _labels(batch: pa.RecordBatch, hashes: np.ndarray, a: np.ndarray, b: np.ndar
 
 
 def entries(classes: DataFrame) -> DataFrame:
-    """label, b0, cid: one row per melody class (columns cid, b0, mel) and tree."""
+    """label, cid: one row per melody class (columns cid, mel) and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = _mixers()
         for batch in batches:
             if batch.num_rows:
                 labels = _labels(batch, *mix)
-                rep = lambda c: np.repeat(batch.column(c).to_numpy(), TREES)  # noqa: B023, E731
-                yield pa.record_batch([labels.ravel(), rep("b0"), rep("cid")], names=["label", "b0", "cid"])
+                yield pa.record_batch([labels.ravel(), np.repeat(batch.column("cid").to_numpy(), TREES)], names=["label", "cid"])
 
-    return classes.select("cid", "b0", "mel").mapInArrow(run, "label bigint, b0 int, cid bigint")
+    return classes.select("cid", "mel").mapInArrow(run, "label bigint, cid bigint")
 
 
-def prefix(depth: int) -> F.Column:
+def prefix(depth: int) -> Column:
     return F.shiftright("label", DIGIT * (DEPTH - depth))
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The cids of the pairs (cid, old_cid) with close events and bpm."""
-    side = lambda p: classes.select(F.col("cid").alias(f"{p}cid"), F.col("mel").alias(f"{p}mel"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"))
-    both = pairs.join(side(""), "cid").join(side("old_"), "old_cid").where(close_bpm(F.col("bpm"), F.col("old_bpm")))
-    return both.where(close_events("mel", "old_mel", "n", "old_n")).select("cid").distinct()
+def class_number(mel: str = "mel", bpm: str = "bpm") -> Column:
+    """Number of a class: a hash, so the same class has the same number in every batch and a batch accepted twice changes nothing."""
+    return F.xxhash64(mel, bpm)
 
 
-def lookup(held: DataFrame, classes: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """cid of the classes for which a class with a smaller b0 is close.
+def classes_of(rows: DataFrame) -> DataFrame:
+    """cid, mel, bpm: one row per distinct (melody, bpm) of rows(mel, bpm)."""
+    return rows.groupBy("mel", "bpm").agg(F.count(F.lit(1)).alias("n")).select(class_number().alias("cid"), "mel", "bpm")
 
-    held: label, b0, cid of the entries whose widest range holds several batches. From the deepest prefix to the widest,
-    what is still unresolved is held against one entry, the earliest, of each of its ranges: as many candidates as
-    entries, however full a range is. Only what that leaves is held against the whole widest range, and there a pair is
-    made only if lengths and tempi allow it.
-    """
-    used = materialize(classes.join(held.select("cid").distinct(), "cid", "left_semi"), "p3_used")
-    done: DataFrame | None = None
-    left = held
-    for depth in range(DEPTH, widest - 1, -1):
-        first = held.groupBy(prefix(depth).alias("range")).agg(F.min("b0").alias("first_b0"), F.min_by("cid", "b0").alias("old_cid"))
-        pairs = left.withColumn("range", prefix(depth)).join(first, "range").where(F.col("first_b0") < F.col("b0")).select("cid", "old_cid").distinct()
-        found = materialize(verified(pairs, used), "p3_found")
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found, "cid", "left_anti")
-    gates = used.select("cid", F.length("mel").alias("n"), "bpm")
-    new = left.select(prefix(widest).alias("range"), "b0", "cid").join(gates, "cid")
-    old = held.select(prefix(widest).alias("range"), *[F.col(c).alias(f"old_{c}") for c in ("b0", "cid")]).join(gates.select(*[F.col(c).alias(f"old_{c}") for c in ("cid", "n", "bpm")]), "old_cid")
-    fits = (F.col("old_b0") < F.col("b0")) & close_bpm(F.col("bpm"), F.col("old_bpm")) & (F.abs(F.col("n") - F.col("old_n")) * 10 <= F.greatest("n", "old_n"))
-    return done.unionByName(verified(new.join(old, "range").where(fits).select("cid", "old_cid").distinct(), used))
-
-
-def in_mixed_ranges(runs: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """label, b0, cid of the entries whose range holds entries of several batches. Most ranges hold one entry and drop out
-    by the aggregate; the join that follows is on the rest, and a full range is split by AQE."""
-    ranges = runs.groupBy(prefix(widest).alias("range")).agg(F.min("b0").alias("lo"), F.max("b0").alias("hi")).where("lo < hi").select("range")
-    return runs.join(ranges, prefix(widest) == F.col("range"), "left_semi").select("label", "b0", "cid")
-
-
-def classes_of(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members, and one row per distinct (melody, bpm): cid, b0 and b1 (its first and last batch), mel, bpm. Songs without batch or bpm take no part."""
-    rows = materialize(members(songs.where(F.col("batch_no").isNotNull() & F.col("bpm").isNotNull()), "bpm", "batch_no"), "p3_rows")
-    return rows, rows.groupBy("mel", "bpm").agg(F.min("rec_no").alias("cid"), F.min("batch_no").alias("b0"), F.max("batch_no").alias("b1"))
-
-
-def repeats(songs: DataFrame) -> DataFrame:
-    """rec_no of every song for which a song of an earlier batch has close events and bpm: a replay of all batches.
-
-    All batches are looked up at once, each only against classes that an earlier batch brought. A song whose own class
-    is older than it is an exact repeat; a song that came with its class's first batch is one if its class is found.
-    """
-    rows, grouped = classes_of(songs)
-    classes = materialize(grouped, "p3_classes")
-    runs = materialize(entries(classes), "p3_entries")
-    found = lookup(materialize(in_mixed_ranges(runs), "p3_held"), classes).select("cid", F.lit(True).alias("near"))
-    marked = classes.join(found, "cid", "left").where(F.col("near") | (F.col("b0") < F.col("b1")))
-    key = [F.xxhash64("mel", "bpm").alias("ka"), F.xxhash64(F.lit(1), "mel", "bpm").alias("kb")]
-    marked = marked.select(*key, "b0", F.coalesce("near", F.lit(False)).alias("near"))
-    both = rows.select(*key, "rec_no", "batch_no").join(marked, ["ka", "kb"])
-    return both.where(F.col("near") | (F.col("batch_no") > F.col("b0"))).select("rec_no", (F.col("batch_no") > F.col("b0")).alias("exact"))
 
+def _side(classes: DataFrame, p: str) -> DataFrame:
+    return classes.select(F.col("cid").alias(f"{p}cid"), F.col("mel").alias(f"{p}mel"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"))
 
-def kinds(songs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """rec_no, kind of every repeat: record (the raw text's hash came with an earlier batch), exact (events and bpm did), near.
 
-    A text repeated in a folder with another convention of signs counts as record though its events differ.
-    """
-    keyed = songs.select("rec_no", "batch_no").join(manifest.select("rec_no", "record_sha256"), "rec_no").where("batch_no IS NOT NULL AND record_sha256 IS NOT NULL")
-    first = keyed.groupBy("record_sha256").agg(F.min("batch_no").alias("b0"), F.max("batch_no").alias("b1")).where("b0 < b1")
-    same = keyed.join(first, "record_sha256").where("b0 < batch_no").select("rec_no", F.lit(True).alias("record")).distinct()
-    both = repeats(songs).distinct().join(same, "rec_no", "full")
-    return both.select("rec_no", F.when(F.col("record"), "record").when(F.col("exact"), "exact").otherwise("near").alias("kind"))
+def verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """The cids of the pairs (cid of new, old_cid of old) with close events and bpm. All sides are tables, so a class that is in
+    very many pairs is split by AQE."""
+    both = pairs.join(_side(new, ""), "cid").join(_side(old, "old_"), "old_cid").where(close_bpm(F.col("bpm"), F.col("old_bpm")))
+    return both.where(close_events("mel", "old_mel", "n", "old_n")).select("cid").distinct()
+
+
+def _steps(c: Column) -> Column:
+    """Places on a scale of tenths: values of which the smaller is at least nine tenths of the larger are one place apart at most."""
+    return F.floor(F.log(F.greatest(c, F.lit(1))) / F.lit(float(np.log(10 / 9)))).cast("int")
 
 
 class HashForest:
-    """The forest kept in a folder: runs/NNNNN/{classes,entries}, each sorted; a lookup reads all runs, a merge makes one.
+    """The forest in a folder. check() looks a batch up and stages its run, accept() makes the run part of the forest.
 
-    Appending a batch writes the batch's own entries only. After MERGE_AT runs they are merged, so that the number of
-    runs a lookup reads stays small; every entry is rewritten a logarithmic number of times over the forest's life.
+    path/manifest/NNNNNNNN.json lists the runs; path/runs/<name>/{entries,classes}/part=P are their parts: entries by the
+    highest bits of the label, classes by those of their number, PART rows to a part. What a batch costs depends on its own
+    entries: it opens at most one part per entry and run, of bounded size, whatever the history holds.
     """
 
-    MERGE_AT = 8
+    FAN_IN, PART = 4, 1_000_000
     #: A batch with up to so many entries sends its ranges to the history's scan (8 bytes each); a larger one is joined.
-    BROADCAST_RANGES = 1_000_000
+    BROADCAST_RANGES = 500_000
+    #: Bits of a label below its tree, of which the highest tell the part.
+    LABEL = DEPTH * DIGIT
+
+    def __init__(self, spark: SparkSession, path: str | None = None, recall: float = RECALL) -> None:
+        self.spark, self.path, self.widest = spark, path or new_path(spark, "forest"), depth_for(recall)
+        jvm = spark.sparkContext._jvm
+        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._file = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self.version, self.runs = 0, []
+        if self._fs.exists(self._file("manifest")):
+            names = sorted(f.getPath().getName() for f in self._fs.listStatus(self._file("manifest")) if f.getPath().getName().endswith(".json"))
+            if names:
+                self.version = int(names[-1][:8])
+                self.runs = json.loads(spark.read.text(f"{self.path}/manifest/{names[-1]}", wholetext=True).first()[0])
+        self.staged: dict | None = None
+
+    def _commit(self, runs: list[dict]) -> None:
+        """Write the next version of the manifest; it fails if another session wrote it first."""
+        out = self._fs.create(self._file(f"manifest/{self.version + 1:08d}.json"), False)
+        out.write(bytearray(json.dumps(runs).encode()))
+        out.close()
+        self.version, self.runs = self.version + 1, runs
+
+    @staticmethod
+    def _bits(rows: int, part: int) -> int:
+        return max(0, (-(-rows // part) - 1).bit_length())
+
+    def _label_part(self, bits: int) -> Column:
+        """Part of a label: its tree and the highest bits of its digits."""
+        return F.shiftright("label", self.LABEL - bits)
+
+    @staticmethod
+    def _class_part(bits: int) -> Column:
+        return F.shiftrightunsigned("cid", 64 - bits) if bits else F.lit(0).cast("bigint")
+
+    def _write(self, classes: DataFrame, made: DataFrame | None, level: int) -> dict:
+        """A run of the classes and their entries (by default those derived from the classes), sorted. Equal labels in large
+        numbers fill several files of a part."""
+        run = {"name": uuid.uuid4().hex[:16], "level": level, "class_bits": 0}
+        at = f"{self.path}/runs/{run['name']}"
+        classes.select("cid", "mel", "bpm").write.parquet(f"{at}/classes/part=0")
+        size = run["classes"] = self._open(run, "classes").count()
+        run["entry_bits"] = self._bits(size, self.PART)
+        if size > self.PART:  # more than one part: dealt out anew
+            run["class_bits"] = self._bits(size, self.PART)
+            own = self._open(run, "classes").withColumn("part", self._class_part(run["class_bits"]))
+            own.repartitionByRange(-(-size // self.PART), "cid").sortWithinPartitions("cid").write.partitionBy("part").parquet(f"{at}/parted")
+            _delete(self.spark, f"{at}/classes")
+            self._fs.rename(self._file(f"runs/{run['name']}/parted"), self._file(f"runs/{run['name']}/classes"))
+        files = -(-size * TREES // self.PART)
+        by = (entries(self._open(run, "classes")) if made is None else made).withColumn("part", self._label_part(run["entry_bits"]))
+        by = by.repartitionByRange(files, "label", "cid") if files > 1 else by.repartition(1)
+        by.sortWithinPartitions("label", "cid").write.partitionBy("part").parquet(f"{at}/entries")
+        return run
+
+    def _open(self, run: dict, what: str, parts: list[int] | None = None) -> DataFrame:
+        """A run's entries or classes; only the given parts of it are listed as files to read."""
+        schema = "label bigint, cid bigint, part bigint" if what == "entries" else "cid bigint, mel string, bpm int, part bigint"
+        df = self.spark.read.schema(schema).parquet(f"{self.path}/runs/{run['name']}/{what}")
+        return (df if parts is None else df.where(F.col("part").isin(parts))).drop("part")
+
+    def _asked(self, keys: DataFrame, part: Column, bits: int) -> list[int] | None:
+        """Parts that the keys fall in: metadata, at most as many as the run has. A run of one part per tree is read whole."""
+        return [r[0] for r in keys.select(part.alias("part")).distinct().collect()] if bits else None
+
+    def _entries(self, made: DataFrame, runs: list[dict]) -> DataFrame:
+        """Entries of the history in the parts that the batch's entries fall in."""
+        out = None
+        for run in runs:
+            own = self._open(run, "entries", self._asked(made, self._label_part(run["entry_bits"]), run["entry_bits"]))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def _classes(self, wanted: DataFrame, runs: list[dict]) -> DataFrame:
+        """The classes of the history in the parts that the numbers of wanted(old_cid) fall in."""
+        out, numbers = None, wanted.select(F.col("old_cid").alias("cid"))
+        for run in runs:
+            own = self._open(run, "classes", self._asked(numbers, self._class_part(run["class_bits"]), run["class_bits"]))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def lookup(self, staged: dict, runs: list[dict]) -> DataFrame:
+        """cid of the classes of a staged run for which a class of the given runs, an earlier state of the forest, is close.
+
+        From the deepest prefix to the widest, an entry is held against one entry of its range: as many candidates as
+        entries, however full a range is. Only what that leaves is held against whole ranges, and there a pair is made only
+        if lengths and tempi allow it, both being parts of the join's key.
+        """
+        new, made, wide = self._open(staged, "classes"), self._open(staged, "entries"), prefix(self.widest)
+        few = staged["classes"] * TREES <= self.BROADCAST_RANGES
+        parted = any(r["class_bits"] for r in runs)  # what is asked for is then read twice, first to find its parts
+
+        def in_ranges(asked: DataFrame) -> DataFrame:
+            ranges = asked.select(wide.alias("range")).distinct()
+            return self._entries(asked, runs).join(F.broadcast(ranges) if few else ranges, wide == F.col("range"), "left_semi")
+
+        # one row per distinct label, so a label that very many melodies share is one row from here on
+        firsts = materialize(in_ranges(made).groupBy("label").agg(F.min("cid").alias("old_cid")), "forest_firsts")
+        pairs = made.join(firsts, "label").select("cid", "old_cid")
+        for depth in range(DEPTH - 1, self.widest - 1, -1):
+            first = firsts.groupBy(prefix(depth).alias("range")).agg(F.min("old_cid").alias("old_cid"))
+            pairs = pairs.unionByName(made.withColumn("range", prefix(depth)).join(first if few else materialize(first, "forest_firsts"), "range").select("cid", "old_cid"))
+        pairs = materialize(pairs.distinct(), "forest_pairs") if parted else pairs.distinct()
+        done = materialize(verified(pairs, new, self._classes(pairs, runs)), "forest_found")
+        # what shares a range with the history at all, and is still open
+        open_ = made.join(done, "cid", "left_anti").join(firsts.select(wide.alias("range")).distinct(), wide == F.col("range"), "left_semi").select("label", "cid")
+        open_ = open_ if few else materialize(open_, "forest_open")
+        hits = in_ranges(open_).select(wide.alias("range"), F.col("cid").alias("old_cid"))
+        hits = materialize(hits, "forest_hits") if parted else hits
+        old = self._classes(hits, runs)
+        gates = lambda c, p: c.select(F.col("cid").alias(f"{p}cid"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"), _steps(F.length("mel")).alias("size"), _steps(F.col("bpm")).alias("pace"))
+        around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
+        asks = open_.select(wide.alias("range"), "cid").join(gates(new, ""), "cid").select("range", "cid", "n", "bpm", around("size"), "pace").select("range", "cid", "n", "bpm", "size", around("pace"))
+        fits = close_bpm(F.col("bpm"), F.col("old_bpm")) & (F.abs(F.col("n") - F.col("old_n")) * 10 <= F.greatest("n", "old_n"))
+        pairs = asks.join(hits.join(gates(old, "old_"), "old_cid"), ["range", "size", "pace"]).where(fits).select("cid", "old_cid").distinct()
+        found = done.unionByName(materialize(verified(pairs, new, old), "forest_found"))
+        drop(firsts)
+        return found
+
+    def check(self, batch: DataFrame) -> DataFrame:
+        """rec_no of the batch's songs that repeat a song of the history; songs without bpm take no part. Nothing about the
+        history is computed anew. The batch's own run is written now and serves the lookup; accept() makes it part of the forest."""
+        self._forget()
+        rows = materialize(members(batch.where("bpm IS NOT NULL"), "bpm"), "forest_rows")
+        self.staged = self.stage(rows)
+        return self.repeated(rows, self.staged, self.runs)
+
+    def stage(self, rows: DataFrame) -> dict:
+        """The run of a batch's rows(rec_no, mel, bpm), which isn't part of the forest yet."""
+        return self._write(classes_of(rows), None, 0)
+
+    def repeated(self, rows: DataFrame, staged: dict, runs: list[dict]) -> DataFrame:
+        """rec_no of the rows of a staged run that repeat a song in the given runs."""
+        if not (runs and staged["classes"]):
+            return rows.select("rec_no").where("false")
+        return rows.select("rec_no", class_number().alias("cid")).join(self.lookup(staged, runs), "cid").select("rec_no")
+
+    def accept(self, run: dict | None = None) -> None:
+        """Append a run, by default that of the batch checked last, and merge runs where FAN_IN of one level have come together.
+        Merged runs stay in the folder for lookups that have begun, until vacuum()."""
+        if run is None:
+            run, self.staged = self.staged, None
+        self._commit([*self.runs, run])
+        level = 0
+        while len(same := [r for r in self.runs if r["level"] == level]) >= self.FAN_IN:
+            both = {what: self._open(same[0], what) for what in ("classes", "entries")}
+            for r in same[1:]:
+                both = {what: df.unionByName(self._open(r, what)) for what, df in both.items()}
+            self._commit([*[r for r in self.runs if r["level"] != level], self._write(both["classes"], both["entries"], level + 1)])
+            level += 1
+
+    def vacuum(self) -> None:
+        """Delete runs that the manifest doesn't list. No lookup or stage may be under way."""
+        known = {r["name"] for r in [*self.runs, *([self.staged] if self.staged else [])]}
+        if self._fs.exists(self._file("runs")):
+            for f in self._fs.listStatus(self._file("runs")):
+                if f.getPath().getName() not in known:
+                    self._fs.delete(f.getPath(), True)
+
+    def _forget(self) -> None:
+        """Delete a run that was staged and not accepted."""
+        if self.staged:
+            _delete(self.spark, f"{self.path}/runs/{self.staged['name']}")
+            self.staged = None
+
+
+#: Batches of a replay that are in work at the same time.
+WORKERS = 4
+
+
+def repeats(songs: DataFrame, store: HashForest | None = None) -> DataFrame:
+    """rec_no of every song for which a song of an earlier batch has close events and bpm: every batch is accepted in turn and
+    looked up in the forest as it was before. Songs without batch or bpm take no part.
+
+    A lookup needs the runs of the earlier batches and nothing else, so several batches are in work at a time.
+    """
+    spark = songs.sparkSession
+    path = new_path(spark, "p3_rows")
+    members(songs.where(F.col("batch_no").isNotNull() & F.col("bpm").isNotNull()), "bpm", "batch_no").write.partitionBy("batch_no").parquet(path)
+    rows = spark.read.schema("rec_no bigint, bpm int, mel string, batch_no int").parquet(path)
+    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect())
+    batches = [rows.where(F.col("batch_no") == b).drop("batch_no") for b in numbers]
+    store, out, before = store or HashForest(spark), rows.select("rec_no").where("false"), []
+    with ThreadPoolExecutor(WORKERS) as pool:
+        staged = list(pool.map(store.stage, batches))
+        for run in staged:
+            before.append(list(store.runs))
+            store.accept(run)
+        for found in pool.map(store.repeated, batches, staged, before):
+            out = out.unionByName(found)
+    store.vacuum()
+    return out
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.runs = spark, path or new_path(spark, "forest"), []
 
-    def _read(self, what: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{r}/{what}" for r in self.runs])
+def kinds(songs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """rec_no, kind of every repeat: record (the raw text's hash came with an earlier batch), exact (events and bpm did), near.
 
-    def append(self, classes: DataFrame, made: DataFrame) -> None:
-        """Add one batch's classes (cid, b0, mel, bpm) and their entries as a sorted run."""
-        run = f"{self.path}/{len(self.runs):05d}-{math.floor(np.random.default_rng().random() * 1e9)}"
-        classes.select("cid", "b0", "mel", "bpm").write.parquet(f"{run}/classes")
-        made.repartitionByRange("label").sortWithinPartitions("label").write.parquet(f"{run}/entries")
-        self.runs.append(run)
-        if len(self.runs) >= self.MERGE_AT:
-            self.merge()
+    A text repeated in a folder with another convention of signs counts as record though its events differ.
+    """
 
-    def merge(self) -> None:
-        merged = f"{self.path}/merged-{math.floor(np.random.default_rng().random() * 1e9)}"
-        self._read("classes").write.parquet(f"{merged}/classes")
-        self._read("entries").repartitionByRange("label").sortWithinPartitions("label").write.parquet(f"{merged}/entries")
-        self.runs = [merged]
+    def again(keyed: DataFrame, *key: str) -> DataFrame:
+        """rec_no of keyed(rec_no, batch_no, key) whose key came with an earlier batch."""
+        first = keyed.groupBy(*key).agg(F.min("batch_no").alias("b0"), F.max("batch_no").alias("b1")).where("b0 < b1").select(*key, "b0")
+        return keyed.join(materialize(first, "p3_first"), list(key)).where("b0 < batch_no").select("rec_no").distinct()
 
-    def check(self, batch: DataFrame) -> DataFrame:
-        """rec_no of the batch's songs that repeat a song of the history. The history's melodies are read only where a
-        prefix of the batch hits; nothing about the history is computed anew."""
-        rows, grouped = classes_of(batch)
-        new = materialize(grouped, "forest_batch")
-        made = materialize(entries(new), "forest_entries")
-        self.last = (new, made)
-        if not self.runs:
-            return rows.select("rec_no").limit(0)
-        ranges = made.select(prefix(WIDEST).alias("range")).distinct()
-        few = new.count() * TREES <= self.BROADCAST_RANGES
-        hist = self._read("entries").join(F.broadcast(ranges) if few else ranges, prefix(WIDEST) == F.col("range"), "left_semi")
-        # a class of the batch may have the number of a class of the history, so the history's are negated; all are earlier
-        hist = materialize(hist.select("label", F.lit(-(2**31)).alias("b0"), (-F.col("cid") - 1).alias("cid")), "forest_hits")
-        hit = hist.select(prefix(WIDEST).alias("range")).distinct()
-        held = made.select("label", "b0", "cid").join(hit, prefix(WIDEST) == F.col("range"), "left_semi").unionByName(hist)
-        old = self._read("classes").withColumn("cid", -F.col("cid") - 1).join(hist.select("cid").distinct(), "cid", "left_semi")
-        found = lookup(materialize(held, "forest_held"), new.select("cid", "mel", "bpm").unionByName(old.select("cid", "mel", "bpm")))
-        # exact repeats have the same labels, so they are found as well
-        return rows.join(new.join(found, "cid", "left_semi").select("mel", "bpm"), ["mel", "bpm"]).select("rec_no")
-
-    def accept(self) -> None:
-        """Append the batch checked last."""
-        self.append(*self.last)
+    hashed = songs.select("rec_no", "batch_no").join(manifest.select("rec_no", "record_sha256"), "rec_no").where("batch_no IS NOT NULL AND record_sha256 IS NOT NULL")
+    record = again(hashed, "record_sha256").withColumn("record", F.lit(True))
+    rows = members(songs.where(F.col("batch_no").isNotNull() & F.col("bpm").isNotNull()), "bpm", "batch_no")
+    exact = again(rows.select("rec_no", "batch_no", class_number().alias("ka"), F.xxhash64(F.lit(1), "mel", "bpm").alias("kb")), "ka", "kb").withColumn("exact", F.lit(True))
+    both = repeats(songs).distinct().join(exact, "rec_no", "left").join(record, "rec_no", "full")
+    return both.select("rec_no", F.when(F.col("record"), "record").when(F.col("exact"), "exact").otherwise("near").alias("kind"))

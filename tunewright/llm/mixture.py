@@ -4,17 +4,19 @@ Sizes are counted with a public byte-level BPE vocabulary whose path is a parame
 the total; one that can't fill it within its cap gives what is missing to the others in proportion to their shares.
 Within a source complete epochs come first. What remains is filled by weighted sampling without replacement after
 Efraimidis and Spirakis: documents in descending order of u ** (1 / weight), u uniform and a hash of the document, are
-taken while their running sum of tokens stays within the budget.
+taken while their running sum of tokens stays within the budget. The order is that of -ln(u) / weight, ascending, which
+is what is stored, as keys near 1 would be told apart by rounding only.
 
-The running sum needs no sort of a source: keys are uniform, so they are cut into equal ranges, sums per (source, range)
-tell the one range in which the budget ends, and only the documents of that range are ordered.
+The running sum needs no sort of a source. Sums of tokens over BINS equal ranges of keys tell the one range of a source in
+which its budget ends; that range is cut again, and so on until it holds few documents, whatever the weights make of the
+keys' distribution. Only the documents of that last range are ordered.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,17 +29,16 @@ from tunewright.shared import materialize
 VOCABULARY = os.environ.get("TUNEWRIGHT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Published splitting pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Documents of one range of keys, and longest run of characters without white space that is tokenised in one piece.
-RANGE, RUN = 100_000, 1000
+#: Most documents that are put in order at once, and ranges of keys that a pass over the open ones sums up.
+RANGE, BINS = 100_000, 1024
 #: mix_targets is read to the driver; it may have so many rows at most.
 MAX_TARGETS = 100_000
 
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """documents with tokens BIGINT; a null or empty text has 0. A run of more than RUN characters without white space
-    is cut every RUN characters, as merging one piece takes time in the square of its length."""
+    """documents with tokens BIGINT, as the tokenizer counts the whole text; a null or empty text has 0."""
     with open(vocabulary, "rb") as f:  # under 1 MB, whatever the corpus
         sent = documents.sparkSession.sparkContext.broadcast(f.read())
-    long = re.compile(r"\S{%d}" % RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -45,10 +46,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encoding = tiktoken.Encoding("mixture", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            counts = []
-            for text in batch.column("text").to_pylist():
-                pieces = [text or ""] if not text or not long.search(text) else long.sub(lambda m: m.group() + "\0", text).split("\0")
-                counts.append(sum(len(encoding.encode_ordinary(p)) for p in pieces))
+            counts = [len(encoding.encode_ordinary(text)) if text else 0 for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("weight"), pa.array(counts, pa.int64())], names=["doc_id", "source", "weight", "tokens"])
 
     return documents.select("doc_id", "source", "weight", "text").mapInArrow(run, "doc_id bigint, source string, weight double, tokens bigint")
@@ -77,9 +75,45 @@ def budgets(targets: list[tuple[str, float, int]], available: dict[str, int], to
     return out
 
 
+def _ends(sized: DataFrame, rest: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+    """low, high, before per source: its budget ends among the documents with low <= key < high, before which `before` tokens
+    lie; they are RANGE at most, or as many as have one key. low = high where the budget holds the whole source or nothing.
+
+    Each pass sums up BINS ranges of what is still open, so the driver sees BINS rows per source however large it is.
+    """
+    spark, done = sized.sparkSession, {}
+    top = {r["source"]: (r["lo"], r["hi"], r["tokens"]) for r in sized.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("tokens").alias("tokens")).collect()}
+    open_ = {}
+    for s, (lo, hi, tokens) in top.items():
+        if rest.get(s, 0) <= 0:
+            done[s] = (-math.inf, -math.inf, 0.0)
+        elif tokens <= rest[s]:
+            done[s] = (math.inf, math.inf, 0.0)
+        else:
+            open_[s] = (lo, math.nextafter(hi, math.inf), 0.0)
+    while open_:
+        table = spark.createDataFrame([(s, *x) for s, x in open_.items()], "source string, lo double, hi double, before double")
+        within = sized.join(F.broadcast(table), "source").where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
+        at = F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int")
+        sums: dict[str, list] = {s: [] for s in open_}
+        for r in within.groupBy("source", at.alias("bin")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect():
+            sums[r["source"]].append(r)
+        following = {}
+        for s, found in sums.items():
+            before = open_[s][2]
+            for r in sorted(found, key=lambda r: r["bin"]):
+                if before + r["tokens"] > rest[s]:
+                    x = (r["lo"], math.nextafter(r["hi"], math.inf), before)
+                    (done if r["n"] <= RANGE or r["lo"] == r["hi"] else following)[s] = x
+                    break
+                before += r["tokens"]
+        open_ = following
+    return done
+
+
 def plan(documents: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY, weight: Column | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The mixture (doc_id, source, copies, tokens of one copy) and its report (source, target_share, actual_share,
-    tokens, available, epochs), one row per target.
+    """The mixture (doc_id, source, copies, tokens of one copy) and its report (source, target_share, actual_share, tokens, budget,
+    available, epochs), one row per target. A source stays below its budget by less than the text at which its prefix ends.
 
     total: tokens of the mixture; by default all tokens of the targeted sources. Documents without tokens or without a
     targeted source are left out; repeated rows are documents of their own. A target without documents, with a null or
@@ -94,27 +128,29 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None, v
     known = documents.join(F.broadcast(names), "source", "left_semi").withColumn("weight", F.coalesce(weight if weight is not None else quality(), F.lit(1.0)))
     sized = token_counts(known, vocabulary).where("tokens > 0")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    sized = materialize(sized.withColumn("key", F.pow(u, 1 / F.greatest("weight", F.lit(1e-6)))), "p9_sized")
+    sized = materialize(sized.select("doc_id", "source", "tokens", (-F.log(u) / F.greatest("weight", F.lit(1e-6))).alias("key")), "p9_sized")
     sums = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # one row per target at most
     available = {r["source"]: r["tokens"] for r in sums}
     budget = budgets(wanted, available, float(total if total is not None else sum(available.values())))
     epochs = {s: min(int(budget[s] // available[s]), r) if available.get(s) else 0 for s, _, r in wanted}
     rest = {s: budget[s] - epochs[s] * available.get(s, 0) if epochs[s] < r else 0.0 for s, _, r in wanted}
-    cuts = max([1, *(-(-r["n"] // RANGE) * 16 for r in sums)])
-    part = sized.withColumn("range", F.least(F.floor((1 - F.col("key")) * cuts), F.lit(cuts - 1)).cast("int"))
-    per = spark.createDataFrame([(s, epochs[s], rest[s]) for s, _, _ in wanted], "source string, epochs int, rest double")
-    by_range = Window.partitionBy("source").orderBy("range")
-    ends = part.groupBy("source", "range").agg(F.sum("tokens").alias("in_range")).withColumn("upto", F.sum("in_range").over(by_range)).withColumn("before", F.col("upto") - F.col("in_range"))
-    marked = part.join(F.broadcast(per), "source").join(ends.select("source", "range", "upto", "before"), ["source", "range"])
-    whole = marked.where(F.col("upto") <= F.col("rest")).select("doc_id", "source", "tokens", "epochs", F.lit(1).alias("extra"))
-    none = marked.where(F.col("before") >= F.col("rest")).select("doc_id", "source", "tokens", "epochs", F.lit(0).alias("extra"))
-    last = marked.where((F.col("upto") > F.col("rest")) & (F.col("before") < F.col("rest")))
-    running = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy(F.desc("key"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("running", running).select("doc_id", "source", "tokens", "epochs", (F.col("running") <= F.col("rest")).cast("int").alias("extra"))
-    chosen = whole.unionByName(none).unionByName(last).select("doc_id", "source", (F.col("epochs") + F.col("extra")).cast("bigint").alias("copies"), "tokens").where("copies > 0")
+    ends = _ends(sized, rest)
+    per = spark.createDataFrame([(s, epochs[s], rest[s], *ends.get(s, (0.0, 0.0, 0.0))) for s, _, _ in wanted], "source string, epochs int, rest double, lo double, hi double, before double")
+    marked = sized.join(F.broadcast(per), "source")
+    sure = marked.where((F.col("key") < F.col("lo")) | (F.col("key") >= F.col("hi"))).select("doc_id", "source", "tokens", "epochs", (F.col("key") < F.col("lo")).cast("int").alias("extra"))
+    # rows that are the same document are one row with a number here, so what is ordered is bounded by RANGE
+    last = marked.where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))).groupBy("source", "key", "doc_id", "tokens", "epochs", "rest", "before").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.col("before") + F.coalesce(F.sum(F.col("tokens") * F.col("m")).over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fit = F.greatest(F.least(F.floor((F.col("rest") - F.col("upto")) / F.col("tokens")), F.col("m")), F.lit(0)).cast("int")
+    last = last.withColumn("upto", upto).withColumn("fit", fit)
+    # the first that doesn't fit ends the prefix
+    stop = F.min(F.when(F.col("fit") < F.col("m"), F.struct("key", "doc_id"))).over(Window.partitionBy("source"))
+    last = last.withColumn("stop", stop).withColumn("fit", F.when(F.col("stop").isNull() | (F.struct("key", "doc_id") <= F.col("stop")), F.col("fit")).otherwise(0))
+    each = F.explode(F.concat(F.array_repeat(F.lit(1), F.col("fit")), F.array_repeat(F.lit(0), (F.col("m") - F.col("fit")).cast("int")))).alias("extra")
+    chosen = sure.unionByName(last.select("doc_id", "source", "tokens", "epochs", each)).select("doc_id", "source", (F.col("epochs") + F.col("extra")).cast("bigint").alias("copies"), "tokens").where("copies > 0")
     chosen = materialize(chosen, "p9_mixture")
     used = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
-    table = spark.createDataFrame([(s, t, available.get(s, 0), epochs[s]) for s, t, _ in wanted], "source string, target_share double, available bigint, epochs int")
+    table = spark.createDataFrame([(s, t, budget[s], available.get(s, 0), epochs[s]) for s, t, _ in wanted], "source string, target_share double, budget double, available bigint, epochs int")
     report = table.join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     grand = chosen.agg(F.sum(F.col("copies") * F.col("tokens"))).first()[0] or 0
     return chosen, report.withColumn("actual_share", F.col("tokens") / F.lit(float(grand or 1)))

@@ -67,7 +67,9 @@ def queries() -> dict[str, Query]:
         "p1_records": _on("manifest", merkle.records),
         "p2_found": _on("songs", crosssplit.overlaps),
         "p2_counts": _on("songs", crosssplit.overlap_counts),
-        "p3_found": _on("songs", lambda s: forest.repeats(s).select("rec_no")),
+        "p2_links": _on("songs", crosssplit.links),
+        "p2_members": _on("songs", crosssplit.memberships),
+        "p3_found": _on("songs", lambda s: forest.repeats(s)),
         "p3_kinds": lambda spark, folder: forest.kinds(_table(spark, folder, "songs"), _table(spark, folder, "manifest")),
         "p3_newest": _p3_newest,
         "p4_found": _on("songs", spans.shared_pairs),
@@ -75,8 +77,10 @@ def queries() -> dict[str, Query]:
         "p4_coverage": _on("songs", spans.coverage),
         "p5_found": _on("songs", splits.linked_groups),
         "p5_splits": _p5_splits,
+        "p5_shares": lambda spark, folder: splits.shares(_table(spark, folder, "songs"), _table(spark, folder, "split_targets")),
         "p7_found": _p7_found,
         "p7_restored": _p7_restored,
+        "p7_convergence": lambda spark, folder: encoding.convergence(_titles(spark, folder, "raw")),
         "p8_found": _leaks(evalleak.leaks),
         "p8_items": _leaks(evalleak.leaked_items),
         "p8_cleaned": _leaks(evalleak.cleaned),

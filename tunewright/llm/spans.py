@@ -1,18 +1,17 @@
 """Long exact spans that songs share, with a count-min prefilter.
 
-Two melodies share a span of at least `length` events exactly if they share a window of that length. Every partition
-counts its windows in a small count-min sketch; the partial sketches are merged cell by cell, so the merged counters
-overestimate and never underestimate. A second pass over the melodies ships only windows that the sketch deems
-repeated, and these are grouped exactly. A window that occurs once is shuffled only if all its cells collide.
-
-Cells stop at two, as only "more than once" matters, and take two bits. The number of cells follows the number of
-windows up to MAX_CELLS: the sketch that goes to the driver and from there to the executors never exceeds
-ROWS * MAX_CELLS / 4 bytes (16 MB). On more windows than that the filter lets more through, and loses none.
+Two melodies share a span of at least `length` events exactly if they share a window of that length. The windows' hashes
+are cut into slices by their highest bits, and every slice has a count-min sketch of its own, of a fixed size, so the
+number of cells follows the number of windows and no task, nor the driver, ever holds more than one slice's. Every
+partition sends each slice what it adds to the sketch: 32 bits of a window's hash, from which its cells follow, once or
+twice and never the window itself. The slice adds these partial counts up and answers each block of melodies which of
+its windows may be repeated; a count is never underestimated. A second pass over the melodies ships only those windows
+with what belongs to them, and they are grouped exactly. A window that occurs once is shipped only if all its cells
+collide.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,8 @@ from tunewright.llm.melodies import members
 from tunewright.shared import materialize
 
 LENGTH = 24
-ROWS, MIN_CELLS, MAX_CELLS, CHUNK = 2, 1 << 16, 1 << 25, 1 << 16
+#: Rows of a sketch; windows to a slice, least number of slices, most cells of a row; windows of which a task sends the counts at once.
+ROWS, PER_SLICE, MIN_SLICES, MAX_CELLS, FLUSH = 2, 1 << 20, 16, 1 << 22, 1 << 22
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -62,96 +62,106 @@ def _joined(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, base: np.uin
     return out
 
 
-def _cells(h: np.ndarray, mix: np.ndarray, cells: int) -> list[np.ndarray]:
-    bits = np.uint64(64 - int(cells).bit_length() + 1)
-    return [(((h ^ h >> np.uint64(31)) * m) >> bits).astype(np.int64) for m in mix[:ROWS]]
+def _keys(h: np.ndarray, mix: np.ndarray, bits: int) -> np.ndarray:
+    """The highest 32 + bits bits of the mixed hash: slice, and 32 bits that tell windows of a slice apart."""
+    return ((h ^ h >> np.uint64(31)) * mix[0]) >> np.uint64(32 - bits)
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    c = cells.reshape(-1, 4)
-    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).astype(np.uint8).tobytes()
+def _cells(rest: np.ndarray, mix: np.ndarray, cells: int) -> list[np.ndarray]:
+    return [(rest.astype(np.uint64) * m >> np.uint64(65 - int(cells).bit_length())).astype(np.int64) for m in mix[:ROWS]]
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    p = np.frombuffer(packed, np.uint8)
-    return np.stack([p & 3, p >> 2 & 3, p >> 4 & 3, p >> 6], axis=1).ravel()
+def _partial(classes: DataFrame, length: int, bits: int) -> DataFrame:
+    """slice, block, rests: what each block of melodies adds to each slice's sketch, a window of several melodies twice."""
 
-
-def sketch(classes: DataFrame, length: int, cells: int) -> np.ndarray:
-    """The merged sketch, ROWS x cells counters of 0, 1 or 2."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, _), mix = _tables()
-        counts = np.zeros((ROWS, cells), np.uint8)
-        for batch in batches:
-            if batch.num_rows:
-                h, song, _ = _windows(*codes_of(batch.column("mel")), length, table, mix[2])
-                order = np.lexsort((h, song))  # a window counts once a song
-                h, song = h[order], song[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (song[1:] != song[:-1])
-                for row, cell in enumerate(_cells(h[first], mix, cells)):
-                    at, n = np.unique(cell, return_counts=True)
-                    counts[row, at] = np.minimum(counts[row, at] + np.minimum(n, 2), 2)
-        for row in range(ROWS):
-            for c in range(0, cells, CHUNK):
-                part = counts[row, c : c + CHUNK]
-                if part.any():
-                    yield pa.record_batch([pa.array([row * cells + c], pa.int64()), pa.array([zlib.compress(_pack(part), 1)], pa.binary())], names=["chunk", "packed"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
-        row = lambda: pa.record_batch([pa.array([at], pa.int64()), pa.array([zlib.compress(_pack(total), 1)], pa.binary())], names=["chunk", "packed"])
+        held: dict[int, list[np.ndarray]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for block, parts in held.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                keys = np.repeat(keys, np.minimum(n, 2))
+                at = np.flatnonzero(np.diff(keys >> np.uint64(32), prepend=np.uint64(2**63)))
+                rests = [x.tobytes() for x in np.split(keys.astype(np.uint32), at[1:])]
+                yield pa.record_batch([pa.array((keys[at] >> np.uint64(32)).astype(np.int64)), pa.array(np.full(len(at), block), pa.int64()), pa.array(rests, pa.binary())], names=["slice", "block", "rests"])
+            held.clear()
+
+        size = 0
         for batch in batches:
-            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                part = _unpack(zlib.decompress(packed))
-                if chunk != at:
-                    if at is not None:
-                        yield row()
-                    at, total = chunk, part
-                else:
-                    total = np.minimum(total + part, 2)
-        if at is not None:
-            yield row()
-
-    schema = "chunk bigint, packed binary"
-    parts = classes.select("mel").mapInArrow(partial, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, schema)
-    merged = np.zeros(ROWS * cells, np.uint8)
-    for chunk, packed in parts.collect():  # at most ROWS * cells / 4 bytes
-        merged[chunk : chunk + CHUNK] = _unpack(zlib.decompress(bytes(packed)))
-    return merged.reshape(ROWS, cells)
+            if not batch.num_rows:
+                continue
+            h, song, _ = _windows(*codes_of(batch.column("mel")), length, table, mix[2])
+            keys, blocks = _keys(h, mix, bits), batch.column("block").to_numpy()
+            order = np.lexsort((keys, song))  # a window counts once a melody
+            keys, song = keys[order], song[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = (keys[1:] != keys[:-1]) | (song[1:] != song[:-1])
+            keys, of = keys[first], blocks[song[first]]
+            for block in np.unique(of):
+                held.setdefault(int(block), []).append(keys[of == block])
+            size += len(keys)
+            if size >= FLUSH:
+                yield from flushed()
+                size = 0
+        yield from flushed()
+
+    return classes.select("block", "mel").mapInArrow(run, "slice bigint, block bigint, rests binary")
+
+
+def _answers(partial: DataFrame, cells: int) -> DataFrame:
+    """slice, block, rests: of what was added to each slice's sketch, that which its merged counts don't rule out as repeated."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        _, mix = _tables()
+        rests = [np.frombuffer(x, np.uint32) for x in batch.column("rests").to_pylist()]
+        each = _cells(np.concatenate(rests), mix, cells)
+        repeated = np.ones(len(each[0]), bool)
+        for cell in each:
+            repeated &= np.bincount(cell, minlength=cells)[cell] >= 2
+        kept = [np.unique(x[k]).tobytes() for x, k in zip(rests, np.split(repeated, np.cumsum([len(x) for x in rests])[:-1]), strict=True)]
+        out = pa.table([batch.column("slice"), batch.column("block"), pa.array(kept, pa.binary())], names=["slice", "block", "rests"])
+        return out.filter(pa.array([bool(k) for k in kept]))
+
+    return partial.groupBy("slice").applyInArrow(run, "slice bigint, block bigint, rests binary")
 
 
 def repeated_windows(classes: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS) -> DataFrame:
     """ha, hb (the window's 128-bit hash), cid, at, before (code of the event before it, -1 at the start) of every
-    window that the sketch doesn't rule out."""
+    window that the sketch doesn't rule out. classes: cid, mel, block (melodies that are asked about together).
+
+    max_cells: most cells of a row of a slice's sketch; with fewer the filter lets more through, and loses none.
+    """
     total = classes.select(F.sum(F.greatest(F.length("mel") - (length - 1), F.lit(0)))).first()[0] or 0
-    cells = min(max(1 << int(2 * total).bit_length(), MIN_CELLS), max_cells)
-    sent = classes.sparkSession.sparkContext.broadcast([_pack(r) for r in sketch(classes, length, cells)])
+    bits = max(-(-total // PER_SLICE), MIN_SLICES).bit_length()
+    cells = min(max(1 << int(4 * total >> bits).bit_length(), 1 << 12), max_cells)
+    answers = _answers(_partial(classes, length, bits), cells)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, melodies: pa.Table, said: pa.Table) -> pa.Table:
         (ta, tb), mix = _tables()
-        counts = [_unpack(r) for r in sent.value]
-        for batch in batches:
-            if batch.num_rows:
-                code, off = codes_of(batch.column("mel"))
-                h, song, at = _windows(code, off, length, ta, mix[2])
-                seen = np.ones(len(h), bool)
-                for row, cell in zip(counts, _cells(h, mix, cells), strict=True):
-                    seen &= row[cell] >= 2
-                if seen.any():
-                    hb, _, _ = _windows(code, off, length, tb, mix[3])
-                    song, at = song[seen], at[seen]
-                    before = np.where(at > 0, code[np.maximum(off[:-1][song] + at - 1, 0)], -1)
-                    cid = batch.column("cid").to_numpy()[song]
-                    yield pa.record_batch([h[seen].view(np.int64), hb[seen].view(np.int64), cid, at.astype(np.int32), before.astype(np.int32)], names=["ha", "hb", "cid", "at", "before"])
-
-    return classes.select("cid", "mel").mapInArrow(run, "ha bigint, hb bigint, cid bigint, at int, before int")
+        keys = [np.uint64(s) << np.uint64(32) | np.frombuffer(x, np.uint32) for s, x in zip(said.column("slice").to_pylist(), said.column("rests").to_pylist(), strict=True)]
+        repeated = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        out = []
+        for batch in melodies.combine_chunks().to_batches(max_chunksize=20_000) if len(repeated) else []:
+            code, off = codes_of(batch.column("mel"))
+            h, song, at = _windows(code, off, length, ta, mix[2])
+            keys = _keys(h, mix, bits)
+            seen = repeated[np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)] == keys
+            hb, _, _ = _windows(code, off, length, tb, mix[3])
+            song, at = song[seen], at[seen]
+            before = np.where(at > 0, code[np.maximum(off[:-1][song] + at - 1, 0)], -1)
+            cid = batch.column("cid").to_numpy()[song]
+            out.append(pa.record_batch([h[seen].view(np.int64), hb[seen].view(np.int64), cid, at.astype(np.int32), before.astype(np.int32)], names=["ha", "hb", "cid", "at", "before"]))
+        kinds = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("cid", pa.int64()), ("at", pa.int32()), ("before", pa.int32())])
+        return pa.Table.from_batches(out, kinds)
+
+    return classes.select("block", "cid", "mel").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "ha bigint, hb bigint, cid bigint, at int, before int")
 
 
 def _prepared(songs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = materialize(members(songs).where(F.length("mel") >= length), "p4_rows")
-    classes = materialize(rows.groupBy("mel").agg(F.min("rec_no").alias("cid"), F.count(F.lit(1)).alias("copies")), "p4_classes")
+    grouped = rows.groupBy("mel").agg(F.min("rec_no").alias("cid"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(grouped.withColumn("block", F.spark_partition_id().cast("bigint")), "p4_classes")  # a block is what one task wrote
     return rows, classes, materialize(repeated_windows(classes, length), "p4_windows")
 
 
@@ -161,9 +171,10 @@ def _key() -> list:
 
 
 def _shared(windows: DataFrame) -> DataFrame:
-    """The windows that really stand in two melodies or more, and the range of the events before them."""
+    """ha, hb of the windows that really stand in two melodies or more; branching: the events before them differ, or a melody
+    begins there. Written, so that joins with it are between tables and a window of very many melodies is split by AQE."""
     groups = windows.groupBy("ha", "hb").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("before").alias("b_lo"), F.max("before").alias("b_hi"))
-    return groups.where(F.col("lo") < F.col("hi"))
+    return materialize(groups.where(F.col("lo") < F.col("hi")).select("ha", "hb", ((F.col("b_lo") < F.col("b_hi")) | (F.col("b_lo") < 0)).alias("branching")), "p4_shared")
 
 
 def _starts(windows: DataFrame) -> DataFrame:
@@ -172,8 +183,7 @@ def _starts(windows: DataFrame) -> DataFrame:
     A pair is made only at a window before which the melodies differ or begin, so a span makes one pair, not one per
     window; windows that the same event precedes everywhere are dropped by an aggregate before any join.
     """
-    branching = _shared(windows).where((F.col("b_lo") < F.col("b_hi")) | (F.col("b_lo") < 0)).select("ha", "hb")
-    w = windows.join(branching, ["ha", "hb"], "left_semi")
+    w = materialize(windows.join(_shared(windows).where("branching"), ["ha", "hb"], "left_semi"), "p4_branching")
     side = lambda x: w.select("ha", "hb", F.col("cid").alias(f"cid_{x}"), F.col("at").alias(f"at_{x}"), F.col("before").alias(f"before_{x}"))
     pairs = side("a").join(side("b"), ["ha", "hb"]).where((F.col("cid_a") < F.col("cid_b")) & ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") < 0)))
     return pairs.select("cid_a", "at_a", "cid_b", "at_b").distinct()

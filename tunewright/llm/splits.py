@@ -198,3 +198,14 @@ def assign(songs: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFrame:
     table = spark.createDataFrame(allocate(sums, shares) if shares else [], "bin bigint, split string")
     named = where.join(F.broadcast(table), "bin", "left").select(F.col("item").alias("group_no"), "split")
     return placed.join(named, "group_no").select("rec_no", "group_no", "split")
+
+
+def shares(songs: DataFrame, targets: DataFrame) -> DataFrame:
+    """split, songs, groups, actual_share, target_share: what assign() gave each target; one row per target."""
+    made = assign(songs, targets)
+    per = made.groupBy("split", "group_no").agg(F.count(F.lit(1)).alias("n")).groupBy("split").agg(F.sum("n").alias("songs"), F.count(F.lit(1)).alias("groups"))
+    total = per.agg(F.sum("songs").alias("total"))  # one row
+    wanted = targets.where("split IS NOT NULL").groupBy("split").agg(F.sum("target_share").alias("target_share"))
+    both = wanted.join(per, "split", "left").join(F.broadcast(total))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return both.select("split", zero("songs"), zero("groups"), F.coalesce(F.col("songs") / F.col("total"), F.lit(0.0)).alias("actual_share"), "target_share")
