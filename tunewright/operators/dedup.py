@@ -23,11 +23,20 @@ LENGTH_RATIO, JACCARD, SIMILAR, CONTAINED, CONTAINED_MIN = 0.65, 0.45, 0.94, 0.9
 def exact_duplicates(songs: DataFrame, tempo: bool = True) -> DataFrame:
     """rec_no, retained (smallest rec_no with the same events and, with tempo, bpm), is_copy.
 
-    The smallest number is found by an aggregate with map-side combine and joined back; no group is gathered.
+    The smallest number is found by an aggregate with map-side combine; the groups that have copies are written and joined
+    back, so that a melody of very many songs is split by AQE. The 128-bit hash of a melody stands for it in the shuffle.
+    A song without events or, with tempo, without bpm is a copy of none.
     """
-    keyed = songs.select("rec_no", music.exact_fingerprint(F.col("bpm"), F.col("events"), tempo).alias("fp"))
-    first = keyed.groupBy("fp").agg(F.min("rec_no").alias("retained"))
-    return keyed.join(first, "fp").select("rec_no", "retained", (F.col("rec_no") != F.col("retained")).alias("is_copy"))
+    text = F.concat_ws(":", F.col("bpm").cast("string"), music.json_events(F.col("events"))) if tempo else music.json_events(F.col("events"))
+    known = F.col("events").isNotNull() & (F.col("bpm").isNotNull() | F.lit(not tempo))
+    keyed = songs.select("rec_no", F.when(known, F.xxhash64(text)).alias("ka"), F.when(known, F.xxhash64(F.lit(1), text)).alias("kb"))
+    return _first_of(keyed, "ka", "kb").select("rec_no", "retained", (F.col("rec_no") != F.col("retained")).alias("is_copy"))
+
+
+def _first_of(keyed: DataFrame, *key: str) -> DataFrame:
+    """keyed(rec_no, key) with retained, the smallest rec_no of the key; a null key is one of its own."""
+    several = keyed.groupBy(*key).agg(F.min("rec_no").alias("retained"), F.count(F.lit(1)).alias("copies")).where("copies > 1").dropna()
+    return keyed.join(materialize(several, "first_of"), list(key), "left").withColumn("retained", F.coalesce("retained", "rec_no"))
 
 
 def representatives(songs: DataFrame) -> DataFrame:
@@ -48,8 +57,9 @@ def near_candidates(reps: DataFrame) -> DataFrame:
     able = reps.where((F.size("tokens") >= MIN_TOKENS) & (F.size(F.array_distinct("tokens")) >= MIN_DISTINCT)).select("rec_no", "family", F.size("tokens").alias("n"), "grams")
     able = materialize(able, "near_reps")
     long = able.select("rec_no", F.explode("grams").alias("g"))
-    rarity = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = long.join(rarity.where("df > 1"), "g")  # a shingle of one melody only joins nothing
+    # a shingle of one melody only joins nothing; a table, so that one of very many melodies is split in the join
+    rarity = materialize(long.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near_rarity")
+    ordered = long.join(rarity, "g")
     size = F.size("grams")
     keep = size - F.ceil(size * JACCARD).cast("int") + 1
     rank = F.row_number().over(Window.partitionBy("rec_no").orderBy("df", "g"))  # a melody's own shingles, a bounded group
@@ -105,7 +115,8 @@ def families(songs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     edges = verified(near_candidates(reps), reps, threshold).select("a", "b")
     linked = components(edges)
     named = reps.select("rec_no", "family").join(linked, F.col("rec_no") == F.col("node"), "left").select("family", F.coalesce("label", "rec_no").alias("label"))
-    least = named.groupBy("label").agg(F.min("family").alias("least"))
+    named = materialize(named, "family_names")
+    least = materialize(named.groupBy("label").agg(F.min("family").alias("least")), "family_least")
     return keyed.join(named.join(least, "label").select("family", "least"), "family").select("rec_no", F.concat(F.lit("family_"), F.substring("least", 1, 20)).alias("family_id"))
 
 

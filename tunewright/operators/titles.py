@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tunewright.shared import materialize
+
 #: Words that carry no content, and phrases of a model that explains instead of naming.
 STOP_WORDS = "a an and as at be by for from in into is it its my of on or our the to up we with your".split()
 TITLE_STOP_WORDS = "a an the of and in on at by to for".split()
@@ -100,7 +102,8 @@ def near_repeats(titles: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform(distinct, lambda a, i: F.transform(F.filter(distinct, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
     keys = F.concat(F.array(F.concat(F.lit("="), F.array_join("all", " "))), F.when(F.size("all") >= 2, pairs).otherwise(F.array().cast("array<string>")))
     long = words.where(F.size("all") > 0).select("id", F.explode(F.array_distinct(keys)).alias("key"))
-    first = long.groupBy("key").agg(F.min("id").alias("earlier"))
+    several = long.groupBy("key").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).where("earlier < last").select("key", "earlier")
+    first = materialize(several, "repeat_keys")  # a table, so that a key of very many titles is split in the join
     return long.join(first, "key").where(F.col("earlier") < F.col("id")).groupBy("id").agg(F.min("earlier").alias("earlier"))
 
 

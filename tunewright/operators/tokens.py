@@ -89,12 +89,35 @@ def windows(seqs: DataFrame, context: int) -> DataFrame:
     return cut.select("rec_no", "split", "chunk", pad(F.slice("seq", 1, F.col("m"))).alias("inputs"), pad(F.concat(F.array(first), F.slice("seq", 3, F.col("m") - 1))).alias("targets"))
 
 
+#: Bits of a token in a packed context; a BIGINT holds a leading one and six tokens.
+BITS, MOST = 10, 6
+
+
+def _packed(context: Column | str) -> Column:
+    """A context of at most MOST tokens as one number, a one before its first token: equal exactly for equal contexts."""
+    return F.aggregate(context, F.lit(1).cast("bigint"), lambda a, x: a * (1 << BITS) + x)
+
+
+def _unpacked(packed: Column, k: Column) -> Column:
+    """The k tokens of a packed context, k >= 1."""
+    digit = lambda i: F.call_function("shiftright", packed, ((k - i) * BITS).cast("int")).bitwiseAND((1 << BITS) - 1).cast("int")
+    return F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), digit)
+
+
+def _check_order(order: int) -> None:
+    if not 1 <= order <= MOST + 1:
+        raise ValueError(f"an order from 1 to {MOST + 1}")
+
+
 def ngram_counts(seqs: DataFrame, order: int = 5) -> DataFrame:
-    """context ARRAY<INT>, target, n for contexts of 0 .. order - 1 tokens; BOS is never a target. Counted with map-side combine."""
+    """context ARRAY<INT>, target, n for contexts of 0 .. order - 1 tokens; BOS is never a target. Counted with map-side
+    combine, contexts packed into one number each."""
+    _check_order(order)
     at = F.explode(F.sequence(F.lit(2), F.size("ids")))
     placed = seqs.where(F.size("ids") > 1).select("ids", at.alias("i"))
-    each = placed.select(F.element_at("ids", F.col("i")).alias("target"), F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(order - 1), F.col("i") - 1)), lambda k: F.slice("ids", F.col("i") - k, k))).alias("context"))
-    return each.groupBy("context", "target").agg(F.count(F.lit(1)).alias("n"))
+    each = placed.select(F.element_at("ids", F.col("i")).alias("target"), F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(order - 1), F.col("i") - 1)), lambda k: F.struct(k.alias("k"), _packed(F.slice("ids", F.col("i") - k, k)).alias("c")))).alias("s"))
+    counted = each.groupBy("s.k", "s.c", "target").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.when(F.col("k") == 0, F.array().cast("array<int>")).otherwise(_unpacked(F.col("c"), F.col("k"))).alias("context"), "target", "n")
 
 
 def context_totals(counts: DataFrame) -> DataFrame:
@@ -111,26 +134,32 @@ def scored_targets(wins: DataFrame, order: int) -> DataFrame:
 
 
 def log_probabilities(pairs: DataFrame, counts: DataFrame, order: int, alpha: float = 0.1, vocabulary: int = VOCABULARY) -> DataFrame:
-    """pairs(context, target, ..) with p, the Witten-Bell interpolated probability.
+    """pairs(context, target, n) with p, the Witten-Bell interpolated probability.
 
     From the empty context to the longest: a context that was seen mixes its own share with what the shorter ones gave, by
     the number of its distinct followers; one that wasn't leaves it unchanged and the next longer is still asked.
+
+    All orders are asked at once: a pair becomes one row per suffix of its context, two joins bring the suffix's totals and
+    the target's count after it, and an aggregate puts the orders together. The empty context's counts, one a token, are broadcast.
     """
-    counts = materialize(counts, "ngram_counts")
-    totals = materialize(context_totals(counts), "ngram_totals")
-    out = pairs.withColumn("p", F.lit(None).cast("double"))
-    for k in range(order):
-        own = counts.where(F.size("context") == k).select(F.col("context").alias("_c"), F.col("target").alias("_t"), F.col("n").alias("_n"))
-        all_ = totals.where(F.size("context") == k).select(F.col("context").alias("_x"), "total", "kinds")
-        key = F.when(F.size("context") >= k, F.slice("context", F.size("context") - k + 1, F.lit(k)))
-        out = out.withColumn("_key", key).join(own, (F.col("_key") == F.col("_c")) & (F.col("target") == F.col("_t")), "left").join(all_, F.col("_key") == F.col("_x"), "left")
-        c = F.coalesce("_n", F.lit(0))
-        if k == 0:
-            p = (c + alpha) / (F.coalesce("total", F.lit(0)) + alpha * vocabulary)
-        else:
-            p = F.when(F.col("total").isNull(), F.col("p")).otherwise((c + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds")))
-        out = out.withColumn("p", p).drop("_key", "_c", "_t", "_n", "_x", "total", "kinds")
-    return out
+    _check_order(order)
+    counts = materialize(counts.select(F.size("context").alias("k"), _packed(F.col("context")).alias("c"), "target", "n"), "ngram_counts")
+    totals = materialize(counts.groupBy("c").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")), "ngram_totals")
+    keyed = pairs.withColumn("_id", _packed("context"))
+    if order > 1:
+        size = F.least(F.size("context"), F.lit(order - 1))
+        suffix = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda k: F.struct(k.alias("k"), _packed(F.slice("context", F.size("context") - k + 1, k)).alias("c")))
+        asked = keyed.where(F.size("context") > 0).select("_id", "target", "context").distinct().select("_id", "target", F.explode(suffix).alias("s")).select("_id", "target", "s.k", "s.c")
+        seen = asked.join(totals, "c").join(counts.select("c", "target", "n"), ["c", "target"], "left")
+        folded = seen.groupBy("_id", "target").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("orders"))  # order - 1 entries
+        keyed = keyed.join(folded, ["_id", "target"], "left")
+    else:
+        keyed = keyed.withColumn("orders", F.array().cast("array<struct<k:int,n:bigint,total:bigint,kinds:bigint>>"))
+    empty = counts.where("k = 0").select("target", F.col("n").alias("_n"))  # a row per token of the vocabulary at most
+    all_ = counts.where("k = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    base = keyed.join(F.broadcast(empty), "target", "left").join(F.broadcast(all_)).withColumn("_p", (F.coalesce("_n", F.lit(0)) + F.lit(alpha)) / (F.col("_all") + F.lit(alpha * vocabulary)))
+    p = F.aggregate(F.coalesce("orders", F.array().cast("array<struct<k:int,n:bigint,total:bigint,kinds:bigint>>")), F.col("_p"), lambda p, o: (o["n"] + o["kinds"] * p) / (o["total"] + o["kinds"]))
+    return base.withColumn("p", p).select(*pairs.columns, "p")
 
 
 def cross_entropy(scored: DataFrame) -> DataFrame:

@@ -17,7 +17,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     all of them; a larger one is read as it is split, without a shuffle."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and cores > 1 and _small(spark, folder, name) else df
+
+
+def _small(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether the table is smaller than one split."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    length = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return length < spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
 
 def on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:

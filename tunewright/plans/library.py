@@ -10,21 +10,6 @@ from tunewright.plans.corpus import Query, on, table
 from tunewright.plans.timelines import _SAMPLES, _samples
 
 
-def _append(songs: DataFrame) -> DataFrame:
-    """Batch 5 appended to the four before it, one shelf per split, the newest 64 of each."""
-    cols = ["id", "rec_no", "split"]
-    old, new = songs.where("batch_no <= 4").select(*cols), songs.where("batch_no = 5").select(*cols)
-    made = library.appended(old, new, "id", "split", [F.desc("rec_no")])
-    return made.select("id", "rec_no", "split", F.col("rank").cast("bigint").alias("rank"))
-
-
-_APPEND = """
-    WITH old AS (SELECT id, rec_no, split FROM songs WHERE batch_no <= 4), new AS (
-      SELECT id, rec_no, split FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rec_no DESC) AS r FROM songs WHERE batch_no = 5 AND id NOT IN (SELECT id FROM old)) WHERE r = 1),
-    a AS (SELECT * FROM old UNION ALL SELECT * FROM new)
-    SELECT id, rec_no, split, rank FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rec_no DESC) AS rank FROM a) WHERE rank <= 64"""
-
-
 def _append_newest(songs: DataFrame) -> DataFrame:
     """The newest batch appended to all songs before it and those without a batch, one shelf per split, the newest 64 of each."""
     newest = songs.agg(F.max("batch_no").alias("newest"))
@@ -72,8 +57,8 @@ _STITCHED = f"""
 
 
 def queries() -> dict[str, Query]:
-    return {"library_append": on("songs", _append), "library_append_newest": on("songs", _append_newest), "merge_titles": _merge, "training_reference": _reference, "stitched_windows": on("events", _stitched)}
+    return {"library_append": on("songs", _append_newest), "merge_titles": _merge, "training_reference": _reference, "stitched_windows": on("events", _stitched)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"library_append": _APPEND, "library_append_newest": _APPEND_NEWEST, "merge_titles": _MERGE, "training_reference": "SELECT rec_no, id, split FROM songs WHERE split = 'train'", "stitched_windows": _STITCHED}
+    return {"library_append": _APPEND_NEWEST, "merge_titles": _MERGE, "training_reference": "SELECT rec_no, id, split FROM songs WHERE split = 'train'", "stitched_windows": _STITCHED}

@@ -102,23 +102,6 @@ _TOPK = f"""
     SELECT previous, target, n, rank, share FROM s WHERE rank = 1 OR before <= 0.95"""
 
 
-def _legal(songs: DataFrame) -> DataFrame:
-    """Legal next tokens after prefixes of growing length."""
-    ids = _ids(songs).select("rec_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.least(F.size("ids"), F.lit(8))), lambda k: F.slice("ids", F.lit(1), k))).alias("k", "prefix"))
-    a = tokens.allowed_next(F.col("prefix"), 2, 3)
-    return ids.select("rec_no", F.col("k").cast("bigint").alias("k"), a["low"].cast("bigint").alias("low"), a["high"].cast("bigint").alias("high"), a["eos"].alias("eos"))
-
-
-_LEGAL = """
-    SELECT rec_no, k, CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 879 WHEN 3 THEN 928 WHEN 4 THEN 879 WHEN 5 THEN 928 WHEN 6 THEN 879 WHEN 7 THEN 928 ELSE 2 END AS low,
-      CASE k WHEN 0 THEN 1 WHEN 1 THEN 878 WHEN 2 THEN 927 WHEN 3 THEN 939 WHEN 4 THEN 927 WHEN 5 THEN 939 WHEN 6 THEN 927 WHEN 7 THEN 939 ELSE 2 END AS high, k IN (6, 8) AS eos
-    FROM (SELECT rec_no, unnest(range(0, 9)) AS k FROM songs WHERE len(events) > 3)"""
-
-
-def _legal_long(songs: DataFrame) -> DataFrame:
-    return _legal(songs.where(F.size("events") > 3))
-
-
 def _legal_whole(songs: DataFrame) -> DataFrame:
     """Legal next tokens after every prefix of every song, by its length and last token, under the limits of sampling."""
     each = _ids(songs).where("ids IS NOT NULL").select("rec_no", F.posexplode(F.concat(F.array(F.lit(None).cast("int")), "ids")).alias("k", "last"))
@@ -137,8 +120,7 @@ def queries() -> dict[str, Query]:
     return {
         "tokenize": on("songs", _tokenize),
         "detokenize": on("songs", _detokenize),
-        "allowed_next": on("songs", _legal_long),
-        "allowed_next_whole": on("songs", _legal_whole),
+        "allowed_next": on("songs", _legal_whole),
         "train_windows": on("songs", _windows),
         "ngram_counts": on("songs", _counts),
         "witten_bell_perplexity": on("songs", _perplexity),
@@ -150,8 +132,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "tokenize": _TOKENIZE,
         "detokenize": _DETOKENIZE,
-        "allowed_next": _LEGAL,
-        "allowed_next_whole": _LEGAL_WHOLE,
+        "allowed_next": _LEGAL_WHOLE,
         "train_windows": _WINDOWS,
         "ngram_counts": f"WITH {IDS}, {_NG} SELECT context, CAST(target AS BIGINT) AS target, n FROM ng",
         "witten_bell_perplexity": _PERPLEXITY,

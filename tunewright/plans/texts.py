@@ -53,9 +53,9 @@ def _numbered(songs: DataFrame) -> DataFrame:
 
 
 def _tonics(songs: DataFrame) -> DataFrame:
-    """The first two characters of every name read as a note name."""
-    cut = songs.select(F.substring("name", 1, 2).alias("written")).distinct()
-    return cut.select("written", titles.tonic(F.col("written")).alias("tonic"))
+    """Every word of every name read as a note name."""
+    words = songs.select(F.explode(F.split("name", " ")).alias("written")).distinct()
+    return words.select("written", titles.tonic(F.col("written")).alias("tonic"))
 
 
 _AVOID = f"""
@@ -67,7 +67,7 @@ _AVOID = f"""
 
 
 _TONICS = """
-    WITH c AS (SELECT DISTINCT substr(name, 1, 2) AS written FROM songs), t AS (SELECT written, trim(replace(replace(written, '♯', '#'), '♭', 'b')) AS t FROM c),
+    WITH c AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS written FROM songs), t AS (SELECT written, trim(replace(replace(written, '♯', '#'), '♭', 'b')) AS t FROM c),
     n AS (SELECT written, CASE upper(substr(t, 1, 1)) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 WHEN 'B' THEN 11 END + CASE substr(t, 2) WHEN '' THEN 0 WHEN '#' THEN 1 WHEN 'b' THEN -1 END AS k FROM t)
     SELECT written, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][((k % 12) + 12) % 12 + 1] AS tonic FROM n"""
 

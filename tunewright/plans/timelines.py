@@ -30,20 +30,11 @@ def _notes(songs: DataFrame) -> DataFrame:
 NOTES = f"""{EV}, no AS (SELECT rec_no AS key, pos AS n, sum(ticks) OVER w - ticks AS a, sum(ticks) OVER w AS b, pitch AS midi FROM ev WINDOW w AS (PARTITION BY rec_no ORDER BY pos))"""
 
 
-def _grid(songs: DataFrame, steps: int | None = 40) -> DataFrame:
-    notes = _notes(songs).where("midi IS NOT NULL").withColumn("confidence", F.lit(1.0))
-    return timeline.interval_grid(notes, 24.0, steps).select("key", big("step"), big("midi"), "strength")
-
-
 def _whole_grid(songs: DataFrame) -> DataFrame:
     """The grid over the whole duration of every song."""
-    return _grid(songs, None)
-
+    notes = _notes(songs).where("midi IS NOT NULL").withColumn("confidence", F.lit(1.0))
+    return timeline.interval_grid(notes, 24.0).select("key", big("step"), big("midi"), "strength")
 
-_GRID = f"""
-    WITH {NOTES}, st AS (SELECT unnest(range(0, 40)) AS step)
-    SELECT key, step, CAST(midi AS BIGINT) AS midi, max((least(b, (step + 1) * 24) - greatest(a, step * 24)) / 24.0) AS strength
-    FROM no JOIN st ON step * 24 < b AND (step + 1) * 24 > a WHERE midi IS NOT NULL GROUP BY key, step, midi"""
 
 _WHOLE_GRID = f"""
     WITH {NOTES}, nn AS (SELECT key, a, b, midi, unnest(range(CAST(floor(a / 24) AS BIGINT), CAST(ceil(b / 24) AS BIGINT))) AS step FROM no WHERE midi IS NOT NULL)
@@ -160,8 +151,7 @@ _OCTAVES = f"""
 
 def queries() -> dict[str, Query]:
     return {
-        "interval_grid_join": on("songs", _grid),
-        "interval_grid_whole": on("songs", _whole_grid),
+        "interval_grid_join": on("songs", _whole_grid),
         "span_support": on("songs", _support),
         "autocorrelation": on("events", _autocorrelation),
         "tempo_lag": on("events", _tempo),
@@ -177,8 +167,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "interval_grid_join": _GRID,
-        "interval_grid_whole": _WHOLE_GRID,
+        "interval_grid_join": _WHOLE_GRID,
         "span_support": _SUPPORT,
         "autocorrelation": _AUTO,
         "tempo_lag": f"SELECT key, lag, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, lag) AS r FROM ({_AUTO})) WHERE r = 1",
