@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tunewright.functions.music import json_events, sounded, successive
+from tunewright.functions.parse import parse
 from tunewright.shared import materialize
 
 #: Words that carry no content, and phrases of a model that explains instead of naming.
@@ -123,16 +128,15 @@ def words_to_avoid(titles: DataFrame) -> DataFrame:
 def unique(values: Iterable[str], limit: int, separator: str, used: set[str] | None = None) -> Iterator[tuple[str, bool]]:
     """Each value cut to limit, with a number behind it if it, case ignored, was there before; and whether it was changed.
 
-    Uniqueness depends on all earlier names, so this runs on one batch of names in order, on the driver.
+    Uniqueness depends on all earlier names, so this runs on one batch of names in order, on the driver. Where a name stood
+    before, the search goes on behind the number that it got last.
     """
-    used = set() if used is None else used
-    for v in values:
-        made, n = v[:limit], 2
-        while made.casefold() in used:
-            end = f"{separator}{n}"
-            made, n = v[: limit - len(end)].rstrip() + end, n + 1
+    used, reached = set() if used is None else used, Counter()
+    for own in (v[:limit] for v in values):
+        spellings = ((own[: limit - len(end)].rstrip() + end, k) for k in count(max(reached[own.casefold()] + 1, 2)) for end in [f"{separator}{k}"])
+        made, reached[own.casefold()] = next((x, k) for x, k in chain([(own, 1)], spellings) if x.casefold() not in used)
         used.add(made.casefold())
-        yield made, made != v[:limit]
+        yield made, made != own
 
 
 def numbered(names: DataFrame) -> DataFrame:
@@ -142,42 +146,72 @@ def numbered(names: DataFrame) -> DataFrame:
     return names.select("id", "name", F.row_number().over(w).cast("bigint").alias("place"))
 
 
+def _proposals(namer: Callable[[dict, list[str], int], str], record: dict, titles: list[str], seeds: Iterable[int]) -> Iterator[tuple[str | None, str | None]]:
+    """What the namer suggests, one seed after the other: a title, or none and why; a failure of the namer is the last one."""
+    for seed in seeds:
+        try:
+            said = namer(record, list(titles), seed)
+        except Exception as e:  # a model may raise anything
+            yield None, f"{type(e).__name__}: {e}"
+            return
+        title, why = sanitize(said)
+        yield title, why or ("duplicate" if title.casefold() in {t.casefold() for t in titles} else None)
+
+
 def name_batch(records: list[dict], namer: Callable[[dict, list[str], int], str], seed: int = 42, retries: int = 1) -> tuple[list[dict], dict]:
     """Titles for a batch of at most a few hundred records (rtttl, name, valid), in order.
 
     namer(record, used titles, seed) suggests one; an unusable or repeated one is asked for again with another seed, then a
-    number is added. If the namer fails, the record keeps its own name. Only the name section of the text changes.
+    number is added. If the namer fails, the record keeps its own name, and its header as it is if that is a short one of
+    ASCII. A record that doesn't parse fails and stays as it is. Only the name section of the text changes.
     """
-    used, names, titles, out = set(), set(), [], []
-    report = dict.fromkeys(("attempted", "named", "failed", "disambiguated", "skipped"), 0)
-    for i, record in enumerate(records):
-        if not record.get("valid"):
-            report["skipped"] += 1
-            out.append(dict(record))
-            continue
-        report["attempted"] += 1
-        title, errors = None, []
-        for attempt in range(retries + 1):
-            try:
-                made, why = sanitize(namer(record, list(titles), seed + i + attempt * len(records)))
-            except Exception as e:  # a model may raise anything
-                errors.append(f"{type(e).__name__}: {e}")
-                title = None
+    usable = [i for i, r in enumerate(records) if r.get("valid")]
+    parsed = parse([records[i]["rtttl"] for i in usable], np.zeros(len(usable), bool)) if usable else None
+    broken = {i: e for i, e in zip(usable, parsed.error, strict=True) if e} if usable else {}
+    out, titles, taken, headers, kinds = [dict(r) for r in records], [], set(), set(), Counter(attempted=len(usable), skipped=len(records) - len(usable), failed=len(broken))
+    for i, error in broken.items():
+        out[i] |= {"source": "original", "errors": [error]}
+    for i in (i for i in usable if i not in broken):
+        asked = []
+        for title, why in _proposals(namer, records[i], titles, range(seed + i, seed + i + (retries + 1) * len(records), len(records))):
+            asked.append((title, why))
+            if why is None:
                 break
-            if made is None:
-                errors.append(why)
-            else:
-                title = made
-                if made.casefold() not in used:
-                    break
-                errors.append("duplicate")
-        from_model = title is not None
-        title = title or sanitize(record.get("name"))[0] or compact(record.get("name"))
-        (full, changed_a), = unique([title], MAX_TITLE, " ", used)
-        (short, changed_b), = unique([compact(full)], MAX_NAME, "", names)
+        ended = asked[-1][0] is None and ":" in (asked[-1][1] or "")  # the namer itself failed
+        title = None if ended else next((t for t, _ in reversed(asked) if t), None)
+        header, settings, melody = records[i]["rtttl"].rsplit(":", 2)
+        own = sanitize(records[i].get("name"))[0] or compact(records[i].get("name"))
+        (full, numbered_title), = unique([title or own], MAX_TITLE, " ", taken)
+        kept = header if title is None and re.fullmatch(r"[A-Za-z0-9 _-]{1,%d}" % MAX_NAME, header) else compact(full)
+        (short, numbered_name), = unique([kept], MAX_NAME, "", headers)
         titles.append(full)
-        report["named" if from_model else "failed"] += 1
-        report["disambiguated"] += changed_a or changed_b
-        body = record["rtttl"].rsplit(":", 2)[1:]
-        out.append(record | {"title": full, "name": short, "rtttl": ":".join([short, *body]), "source": "model" if from_model else "original", "errors": errors})
-    return out, report
+        kinds.update({"named": title is not None, "failed": title is None, "disambiguated": numbered_title or numbered_name})
+        out[i] |= {"title": full, "name": short, "rtttl": f"{short}:{settings}:{melody}", "source": "original" if title is None else "model", "errors": [w for _, w in asked if w]}
+    return out, {k: int(kinds[k]) for k in ("attempted", "named", "failed", "disambiguated", "skipped")}
+
+
+#: Words of titles from measured character (fixed values): by tempo (below 90, from 140, between), by register and by leaps.
+TEMPO_WORDS = {
+    "slow": "Quiet Drifting Velvet Distant Gentle Silver Hushed Tender".split(),
+    "fast": "Electric Dancing Restless Swift Spiraling Flying Flashing Bright".split(),
+    "middle": "Amber Wandering Golden Rolling Shimmering Glowing Winding Open".split(),
+}
+THING_WORDS = {
+    "high": "Sparks Stars Lanterns Fireflies Kites Comets Bells Feathers".split(),
+    "wide": "Flight Horizons Summits Bridges Arches Canyons Wings Heights".split(),
+    "near": "Tides Footsteps Paths Ripples Rivers Gardens Waves Trails".split(),
+}
+TIMES = ("", "Morning ", "Evening ", "Midnight ")
+HIGH_PITCH, WIDE_STEP, SLOW, FAST = 84, 5, 90, 140
+
+
+def characteristic(songs: DataFrame) -> DataFrame:
+    """rec_no, title of songs(rec_no, bpm, events): a title from tempo, register and leaps, of which the song's hash picks one of 256."""
+    p = sounded(F.col("events"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
+    words = lambda table, key: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), key)
+    pace = F.when(F.col("bpm") < SLOW, "slow").when(F.col("bpm") >= FAST, "fast").otherwise("middle")
+    thing = F.when(mean(p) >= HIGH_PITCH, "high").when(mean(F.transform(successive(p), F.abs)) >= WIDE_STEP, "wide").otherwise("near")
+    made = songs.select("rec_no", pace.alias("pace"), thing.alias("thing"), F.conv(F.substring(F.md5(F.concat_ws(":", "bpm", json_events(F.col("events")))), 1, 4), 16, 10).cast("int").alias("h"))
+    pick = lambda a, i: F.element_at(a, (i + 1).cast("int"))
+    return made.select("rec_no", F.concat(pick(words(TEMPO_WORDS, F.col("pace")), F.col("h") % 8), F.lit(" "), pick(F.array(*map(F.lit, TIMES)), F.floor(F.col("h") / 64) % 4), pick(words(THING_WORDS, F.col("thing")), F.floor(F.col("h") / 8) % 8)).alias("title"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunewright.plans import corpus, duplicates, generating, library, melodies, model, sources, texts, timelines
+from tunewright.plans import corpus, duplicates, generating, library, melodies, model, preparing, sources, texts, timelines
 
-PARTS = (corpus, melodies, duplicates, model, timelines, sources, texts, generating, library)
+PARTS = (corpus, melodies, duplicates, model, timelines, sources, texts, generating, library, preparing)
 FLAGSHIP = "nearest_reference"
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.operators import generation, timeline, transcription
+from tunewright.functions import music
+from tunewright.operators import generation, timeline, titles, transcription
 from tunewright.operators import tokens as tk
 from tunewright.plans.corpus import Query, on, table
 from tunewright.plans.timelines import _notes
+from tunewright.shared import materialize
 
 ORDER, SONGS = 4, 48
 
@@ -30,7 +32,7 @@ def _paired(spark: SparkSession, folder: str) -> DataFrame:
     """Rates without and with repetition control, over the same plan and seeds."""
     counts = _counts(table(spark, folder, "songs"))
     arms = {"free": generation.Sampling(penalty=1, max_run=0, max_copies=0), "guarded": generation.Sampling()}
-    both = generation.paired(_plan(spark, folder), counts, ORDER, arms).persist()
+    both = materialize(generation.paired(_plan(spark, folder), counts, ORDER, arms), "paired")
     out = None
     for arm in arms:
         m = generation.metrics(both.where(F.col("arm") == arm)).withColumn("arm", F.lit(arm))
@@ -59,6 +61,29 @@ def _transcribed(songs: DataFrame) -> DataFrame:
     return transcription.melodies(transcription.paths(_grid(songs), "upper", 2)).select("clip", F.size("events").alias("events"))
 
 
+def _clips(songs: DataFrame) -> DataFrame:
+    """Every song of at most half a minute as a clip that is played note by note, its tempo known."""
+    stops = lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.aggregate(F.slice(c, F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
+    rows = songs.where(F.size("events") > 0).withColumn("length", F.transform("events", lambda e: music.seconds(e, F.col("bpm"))))
+    rows = rows.where(F.aggregate("length", F.lit(0.0), lambda a, x: a + x) <= 30).withColumn("stop", stops("length"))
+    note = lambda e, i: F.struct((F.get("stop", i) - F.get("length", i)).alias("start"), F.get("stop", i).alias("end"), e["pitch"].alias("midi"), F.lit(0.8).alias("strength"), F.lit(0.8).alias("onset"))
+    played = F.filter(F.transform("events", note), lambda n: n["midi"].isNotNull())
+    return rows.select(F.col("rec_no").alias("clip"), F.element_at("stop", -1).alias("seconds"), "bpm", played.alias("played"), "events")
+
+
+def _candidates(songs: DataFrame) -> DataFrame:
+    """Melodies heard in every clip, ranked by their support."""
+    made = transcription.transcribed(_clips(songs).select("clip", "seconds", "bpm", "played"))
+    return made.select("clip", "rank", "profile", "bpm", F.round("score", 4).alias("score"), "notes", F.size("events").alias("events"))
+
+
+def _heard(songs: DataFrame) -> DataFrame:
+    """How well the first candidate of every clip agrees with the song that was played."""
+    clips = _clips(songs)
+    found = transcription.transcribed(clips.select("clip", "seconds", "bpm", "played")).where("rank = 1").select("clip", F.col("events").alias("found"))
+    return transcription.accuracy(clips.select("clip", F.col("events").alias("truth")).join(found, "clip", "left"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "batch_plan": _plan,
@@ -67,8 +92,20 @@ def queries() -> dict[str, Query]:
         "repair_rerank": on("songs", _repaired),
         "viterbi_lead": on("songs", _viterbi),
         "transcribed_melody": on("songs", _transcribed),
+        "transcription_candidates": on("songs", _candidates),
+        "transcription_accuracy": on("songs", _heard),
     }
 
 
+#: The plan in SQL: md5 orders each cycle, and md5 draws the tempo within the profile's range.
+_PLAN = f"""
+    WITH p AS (SELECT unnest({[*generation.PROFILES]!r}) AS profile), t AS (SELECT unnest({[*titles.SHARPS]!r}) AS tonic),
+    a AS (SELECT r * 5 + row_number() OVER (PARTITION BY r ORDER BY md5('42:profile:' || r || ':' || profile)) - 1 AS id, profile FROM p, range(0, {-(-SONGS // 5)}) x(r)),
+    b AS (SELECT r * 12 + row_number() OVER (PARTITION BY r ORDER BY md5('42:tonic:' || r || ':' || tonic)) - 1 AS id, tonic FROM t, range(0, {-(-SONGS // 12)}) x(r)),
+    l AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {x.tempo[0]}, {x.tempo[1]}, '{x.mode}')" for n, x in generation.PROFILES.items())}) v(profile, lo, hi, mode))
+    SELECT id, profile, CAST(lo + floor(CAST(('0x' || substr(md5('42:tempo:' || id), 1, 8)) AS BIGINT) / 4294967296.0 * (hi - lo + 1)) AS INT) AS bpm, tonic, mode, 'profile_range' AS tempo_source
+    FROM a JOIN b USING (id) JOIN l USING (profile) WHERE id < {SONGS}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"batch_plan": _PLAN}

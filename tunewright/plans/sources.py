@@ -129,7 +129,7 @@ def _roundtrip(manifest: DataFrame) -> DataFrame:
 
 
 def _waves(songs: DataFrame) -> DataFrame:
-    return sinks.rendered(songs, rate=8000).select("rec_no", F.length("wav").alias("bytes"), "seconds")
+    return sinks.rendered(songs, rate=8000).select("rec_no", F.length("wav").cast("bigint").alias("bytes"), "seconds")
 
 
 def _first_seen(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,5 +176,8 @@ def oracle_sql() -> dict[str, str]:
         "json_codec": "SELECT rec_no, name, CAST(bpm AS BIGINT) AS bpm, CAST(len(events) AS BIGINT) AS events, coalesce(array_to_string(warnings, ','), '') AS warnings FROM songs",
         "record_sessionize": _SESSIONIZE,
         "parse_roundtrip": "SELECT rec_no, true AS same FROM manifest WHERE status <> 'rejected'",
+        # the sizes of notes are rounded half to even, as the writer does
+        "wav_render": f"""WITH {EV} SELECT rec_no, CAST(CASE WHEN sum(beats * 60.0 / min_bpm) <= 300 THEN 44 + 2 * sum(greatest(1, round_even(beats * 60.0 / min_bpm * 8000, 0))) END AS BIGINT) AS bytes, sum(beats * 60.0 / min_bpm) AS seconds
+            FROM (SELECT *, bpm AS min_bpm FROM ev) GROUP BY rec_no""",
         "stream_windowed_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     }

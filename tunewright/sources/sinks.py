@@ -36,6 +36,36 @@ def write_batch(records: DataFrame, path: str) -> dict:
     return row.asDict()
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows of flat columns as CSV with a header; refuses a path that exists."""
+    rows.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def append_csv(rows: DataFrame, path: str) -> None:
+    """More rows of metrics behind those in path, which is made if it isn't there; columns must be those of the rows there."""
+    spark = rows.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        there = spark.read.option("header", True).csv(path).columns
+        if there != rows.columns:
+            raise ValueError(f"columns {rows.columns} behind {there}")
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def read_config(spark, path: str) -> dict:
+    """Settings of a YAML or JSON file, read on the driver; YAML needs PyYAML."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        return json.loads(text)
+    except ValueError:
+        pass
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("PyYAML isn't installed; write the settings as JSON") from e
+    return yaml.safe_load(text) or {}
+
+
 def checksums(files: DataFrame) -> DataFrame:
     """source, sha256 of files(source, content, directory)."""
     return files.where("NOT directory").select("source", F.sha2("content", 256).alias("sha256"))
@@ -56,26 +86,24 @@ def dataset_fingerprint(df: DataFrame) -> str:
 
 
 def tone(bpm: int, events: list[tuple[int | None, int, bool]], rate: int) -> bytes:
-    """Mono 16-bit WAV of one melody."""
-    parts = []
-    for pitch, duration, dotted in events:
-        size = max(1, round(240 / bpm / duration * (1.5 if dotted else 1) * rate))
-        sound = np.zeros(size)
-        if pitch is not None:
-            n = max(1, round(size * GATE))
-            sound[:n] = AMPLITUDE * np.sin(2 * np.pi * 440 * 2 ** ((pitch - 69) / 12) * np.arange(n) / rate)
-            edge = min(round(rate * RAMP), n // 2)
-            if edge:
-                ramp = np.linspace(0, 1, edge)
-                sound[:edge] *= ramp
-                sound[n - edge : n] *= ramp[::-1]
-        parts.append(sound)
+    """Mono 16-bit WAV of one melody: one oscillator over all samples at once, its frequency and loudness per sample from the
+    note that the sample lies in and the place that it has there."""
+    pitch = np.array([np.nan if p is None else p for p, _, _ in events], float)
+    length = np.array([240 / bpm / d * (1.5 if dot else 1) for _, d, dot in events])
+    size = np.maximum(np.rint(length * rate).astype(int), 1)
+    note = np.repeat(np.arange(len(size)), size)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    held = np.maximum(np.rint(size * GATE).astype(int), 1)
+    edge = np.minimum(round(rate * RAMP), held // 2)
+    from_end = held[note] - 1 - place
+    steps = np.maximum(edge - 1, 1)[note]
+    loud = np.clip(np.minimum(place, from_end) / steps, 0, 1) if edge.any() else np.ones(len(note))
+    loud = np.where((edge[note] == 0) & (from_end >= 0), 1.0, loud)
+    sound = np.nan_to_num(AMPLITUDE * loud * np.sin(2 * np.pi * (440 * 2 ** ((pitch - 69) / 12))[note] * place / rate))
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes((np.clip(np.concatenate(parts), -1, 1) * 32767).astype("<i2").tobytes())
+        w.setparams((1, 2, rate, len(sound), "NONE", "not compressed"))
+        w.writeframes((np.clip(sound, -1, 1) * 32767).astype("<i2").tobytes())
     return out.getvalue()
 
 
