@@ -97,9 +97,9 @@ def last_n(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
 
 
 def octave_fit(path: DataFrame, low: int = 60, high: int = 107) -> DataFrame:
-    """key, t, midi of path(key, t, midi): moved by the multiple of 12 that puts most notes in range (of equals the smallest
-    move, then the lower), then folded into it note by note. A null stays null."""
-    moves = F.explode(F.array(*[F.lit(12 * k) for k in range(-5, 6)]))
+    """key, t, midi of path(key, t, midi): moved by the multiple of 12 within four octaves that puts most notes in range (of
+    equals the smallest move, then the lower), then folded into it note by note. A null stays null."""
+    moves = F.explode(F.array(*[F.lit(12 * k) for k in range(-4, 5)]))
     fits = path.where("midi IS NOT NULL").groupBy("key", "midi").agg(F.count(F.lit(1)).alias("n")).withColumn("move", moves)
     fits = fits.groupBy("key", "move").agg(F.sum(F.when((F.col("midi") + F.col("move")).between(low, high), F.col("n")).otherwise(0)).alias("inside"))
     best = fits.groupBy("key").agg(F.max_by("move", F.struct("inside", -F.abs("move"), -F.col("move"))).alias("move"))

@@ -126,6 +126,8 @@ _NEAREST_TRAINING = (
     .replace("q JOIN t USING (melody)", "q JOIN t ON q.melody = t.melody AND q.rec_no <> t.rec_no").replace("q JOIN t USING (family)", "q JOIN t ON q.family = t.family AND q.rec_no <> t.rec_no")
     .replace("(SELECT min(rec_no) FROM t)", "(SELECT min(t.rec_no) FROM t WHERE t.rec_no <> q.rec_no)")
 )
+for _name in ("tk", "nf", "ft", "sz", "ov", "sc"):  # each is read several times
+    _NEAREST_TRAINING = _NEAREST_TRAINING.replace(f"{_name} AS (", f"{_name} AS MATERIALIZED (", 1)
 
 
 def _sampled(songs: DataFrame) -> DataFrame:

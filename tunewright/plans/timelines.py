@@ -143,7 +143,8 @@ def _octaves(songs: DataFrame) -> DataFrame:
 
 
 _OCTAVES = f"""
-    WITH {EV}, f AS (SELECT rec_no, k * 12 AS move, count(*) FILTER (WHERE pitch + k * 12 BETWEEN 64 AND 76) AS n FROM ev, (SELECT unnest(range(-5, 6)) AS k) WHERE pitch IS NOT NULL GROUP BY rec_no, k),
+    WITH {EV}, c AS (SELECT rec_no, pitch, count(*) AS c FROM ev WHERE pitch IS NOT NULL GROUP BY rec_no, pitch),
+    f AS (SELECT rec_no, k * 12 AS move, coalesce(sum(c) FILTER (WHERE pitch + k * 12 BETWEEN 64 AND 76), 0) AS n FROM (SELECT *, unnest(range(-4, 5)) AS k FROM c) GROUP BY rec_no, k),
     b AS (SELECT rec_no, move FROM (SELECT *, row_number() OVER (PARTITION BY rec_no ORDER BY n DESC, abs(move), move) AS r FROM f) WHERE r = 1),
     m AS (SELECT rec_no AS key, pos AS t, pitch + coalesce(move, 0) AS m FROM ev LEFT JOIN b USING (rec_no))
     SELECT key, t, CAST(CASE WHEN m < 64 THEN m + 12 * ceil((64 - m) / 12) WHEN m > 76 THEN m - 12 * ceil((m - 76) / 12) ELSE m END AS BIGINT) AS midi FROM m"""
