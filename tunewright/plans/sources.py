@@ -144,6 +144,18 @@ def _windowed(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.run_once(incremental.windowed_counts(rows), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
+def _recency(spark: SparkSession, folder: str) -> DataFrame:
+    schema = table(spark, folder, "events").schema
+    rows = incremental.stream(spark, f"{folder}/events.parquet*", schema)
+    return incremental.run_once(incremental.recency(rows))
+
+
+_RECENCY = """
+    WITH c AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS last FROM events),
+    o AS (SELECT user_id, min(back) AS other FROM c WHERE event_type IS DISTINCT FROM last GROUP BY user_id)
+    SELECT user_id, any_value(last) AS event_type, coalesce(any_value(other) - 1, count(*)) AS run FROM c LEFT JOIN o USING (user_id) GROUP BY user_id"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "source_kinds": on("source_inventory", _kinds),
@@ -160,6 +172,7 @@ def queries() -> dict[str, Query]:
         "wav_render": on("songs", _waves),
         "stream_first_seen": _first_seen,
         "stream_windowed_counts": _windowed,
+        "stream_recency": _recency,
     }
 
 
@@ -179,5 +192,6 @@ def oracle_sql() -> dict[str, str]:
         # the sizes of notes are rounded half to even, as the writer does
         "wav_render": f"""WITH {EV} SELECT rec_no, CAST(CASE WHEN sum(beats * 60.0 / min_bpm) <= 300 THEN 44 + 2 * sum(greatest(1, round_even(beats * 60.0 / min_bpm * 8000, 0))) END AS BIGINT) AS bytes, sum(beats * 60.0 / min_bpm) AS seconds
             FROM (SELECT *, bpm AS min_bpm FROM ev) GROUP BY rec_no""",
+        "stream_recency": _RECENCY,
         "stream_windowed_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     }
