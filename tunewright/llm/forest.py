@@ -140,8 +140,10 @@ class HashForest:
     """
 
     FAN_IN, PART = 4, 1_000_000
-    #: A batch with up to so many entries sends its ranges to the history's scan (8 bytes each); a larger one is joined.
-    BROADCAST_RANGES = 500_000
+    #: Up to so many ranges or numbers of classes are sent to the history's scan (8 bytes each); more are joined with it.
+    BROADCAST_KEYS = 500_000
+    #: A range with more entries of the history than that is searched by length and tempo.
+    FULL = 200
     #: Bits of a label below its tree, of which the highest tell the part.
     LABEL = DEPTH * DIGIT
 
@@ -180,7 +182,7 @@ class HashForest:
     def _write(self, classes: DataFrame, made: DataFrame | None, level: int) -> dict:
         """A run of the classes and their entries (by default those derived from the classes), sorted. Equal labels in large
         numbers fill several files of a part."""
-        run = {"name": uuid.uuid4().hex[:16], "level": level, "class_bits": 0}
+        run = {"name": uuid.uuid4().hex[:16], "level": level, "class_bits": 0, "entry_bits": 0}
         at = f"{self.path}/runs/{run['name']}"
         classes.select("cid", "mel", "bpm").write.parquet(f"{at}/classes/part=0")
         size = run["classes"] = self._open(run, "classes").count()
@@ -197,68 +199,75 @@ class HashForest:
         by.sortWithinPartitions("label", "cid").write.partitionBy("part").parquet(f"{at}/entries")
         return run
 
-    def _open(self, run: dict, what: str, parts: list[int] | None = None) -> DataFrame:
-        """A run's entries or classes; only the given parts of it are listed as files to read."""
-        schema = "label bigint, cid bigint, part bigint" if what == "entries" else "cid bigint, mel string, bpm int, part bigint"
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/runs/{run['name']}/{what}")
-        return (df if parts is None else df.where(F.col("part").isin(parts))).drop("part")
-
-    def _asked(self, keys: DataFrame, part: Column, bits: int) -> list[int] | None:
-        """Parts that the keys fall in: metadata, at most as many as the run has. A run of one part per tree is read whole."""
-        return [r[0] for r in keys.select(part.alias("part")).distinct().collect()] if bits else None
+    def _open(self, runs: list[dict] | dict, what: str, asked: DataFrame | None = None) -> DataFrame:
+        """Entries or classes of the runs, as one scan. With asked, which has their key, only the parts that its keys fall in are read:
+        which parts these are is metadata, at most as many rows as a run has parts. A run of one part is read whole."""
+        paths = []
+        for run in [runs] if isinstance(runs, dict) else runs:
+            at, bits = f"runs/{run['name']}/{what}", run["entry_bits" if what == "entries" else "class_bits"]
+            if asked is None or not bits:
+                paths.append(f"{self.path}/{at}")
+                continue
+            part = self._label_part(bits) if what == "entries" else self._class_part(bits)
+            wanted = {f"part={r[0]}" for r in asked.select(part.alias("part")).distinct().collect()}
+            paths += [f"{self.path}/{at}/{n}" for f in self._fs.listStatus(self._file(at)) if (n := f.getPath().getName()) in wanted]
+        schema = "label bigint, cid bigint" if what == "entries" else "cid bigint, mel string, bpm int"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths)
 
     def _entries(self, made: DataFrame, runs: list[dict]) -> DataFrame:
         """Entries of the history in the parts that the batch's entries fall in."""
-        out = None
-        for run in runs:
-            own = self._open(run, "entries", self._asked(made, self._label_part(run["entry_bits"]), run["entry_bits"]))
-            out = own if out is None else out.unionByName(own)
-        return out
+        return self._open(runs, "entries", made)
 
     def _classes(self, wanted: DataFrame, runs: list[dict]) -> DataFrame:
-        """The classes of the history in the parts that the numbers of wanted(old_cid) fall in."""
-        out, numbers = None, wanted.select(F.col("old_cid").alias("cid"))
-        for run in runs:
-            own = self._open(run, "classes", self._asked(numbers, self._class_part(run["class_bits"]), run["class_bits"]))
-            out = own if out is None else out.unionByName(own)
-        return out
+        """The classes of the history that the table wanted(old_cid) names, read from the parts that their numbers fall in."""
+        numbers = wanted.select(F.col("old_cid").alias("cid")).distinct()
+        own = self._open(runs, "classes", numbers)
+        return own.join(F.broadcast(numbers) if numbers.count() <= self.BROADCAST_KEYS else numbers, "cid", "left_semi")
 
     def lookup(self, staged: dict, runs: list[dict]) -> DataFrame:
         """cid of the classes of a staged run for which a class of the given runs, an earlier state of the forest, is close.
 
         From the deepest prefix to the widest, an entry is held against one entry of its range: as many candidates as
         entries, however full a range is. Only what that leaves is held against whole ranges, and there a pair is made only
-        if lengths and tempi allow it, both being parts of the join's key.
+        if lengths and tempi allow it; in a full range both are parts of the join's key.
         """
         new, made, wide = self._open(staged, "classes"), self._open(staged, "entries"), prefix(self.widest)
-        few = staged["classes"] * TREES <= self.BROADCAST_RANGES
-        parted = any(r["class_bits"] for r in runs)  # what is asked for is then read twice, first to find its parts
+        few = staged["classes"] * TREES <= self.BROADCAST_KEYS
+        sent = F.broadcast if few else lambda df: df
 
         def in_ranges(asked: DataFrame) -> DataFrame:
-            ranges = asked.select(wide.alias("range")).distinct()
-            return self._entries(asked, runs).join(F.broadcast(ranges) if few else ranges, wide == F.col("range"), "left_semi")
+            return self._entries(asked, runs).join(sent(asked.select(wide.alias("range")).distinct()), wide == F.col("range"), "left_semi")
 
         # one row per distinct label, so a label that very many melodies share is one row from here on
         firsts = materialize(in_ranges(made).groupBy("label").agg(F.min("cid").alias("old_cid")), "forest_firsts")
-        pairs = made.join(firsts, "label").select("cid", "old_cid")
+        # most of a batch's ranges are empty in the history
+        asked = materialize(made.join(sent(firsts.select(wide.alias("range")).distinct()), wide == F.col("range"), "left_semi").select("label", "cid"), "forest_asked")
+        pairs = asked.join(firsts, "label").select("cid", "old_cid")
         for depth in range(DEPTH - 1, self.widest - 1, -1):
             first = firsts.groupBy(prefix(depth).alias("range")).agg(F.min("old_cid").alias("old_cid"))
-            pairs = pairs.unionByName(made.withColumn("range", prefix(depth)).join(first if few else materialize(first, "forest_firsts"), "range").select("cid", "old_cid"))
-        pairs = materialize(pairs.distinct(), "forest_pairs") if parted else pairs.distinct()
+            pairs = pairs.unionByName(asked.withColumn("range", prefix(depth)).join(first if few else materialize(first, "forest_firsts"), "range").select("cid", "old_cid"))
+        pairs = materialize(pairs.distinct(), "forest_pairs")
         done = materialize(verified(pairs, new, self._classes(pairs, runs)), "forest_found")
-        # what shares a range with the history at all, and is still open
-        open_ = made.join(done, "cid", "left_anti").join(firsts.select(wide.alias("range")).distinct(), wide == F.col("range"), "left_semi").select("label", "cid")
-        open_ = open_ if few else materialize(open_, "forest_open")
-        hits = in_ranges(open_).select(wide.alias("range"), F.col("cid").alias("old_cid"))
-        hits = materialize(hits, "forest_hits") if parted else hits
+        open_ = materialize(asked.join(sent(done), "cid", "left_anti").select("label", "cid"), "forest_open")
+        hits = materialize(in_ranges(open_).select(wide.alias("range"), F.col("cid").alias("old_cid")), "forest_hits")
         old = self._classes(hits, runs)
         gates = lambda c, p: c.select(F.col("cid").alias(f"{p}cid"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"), _steps(F.length("mel")).alias("size"), _steps(F.col("bpm")).alias("pace"))
         around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
-        asks = open_.select(wide.alias("range"), "cid").join(gates(new, ""), "cid").select("range", "cid", "n", "bpm", around("size"), "pace").select("range", "cid", "n", "bpm", "size", around("pace"))
         fits = close_bpm(F.col("bpm"), F.col("old_bpm")) & (F.abs(F.col("n") - F.col("old_n")) * 10 <= F.greatest("n", "old_n"))
-        pairs = asks.join(hits.join(gates(old, "old_"), "old_cid"), ["range", "size", "pace"]).where(fits).select("cid", "old_cid").distinct()
-        found = done.unionByName(materialize(verified(pairs, new, old), "forest_found"))
-        drop(firsts)
+        asks = open_.select(wide.alias("range"), "cid").join(gates(new, ""), "cid")
+        held = hits.join(gates(old, "old_"), "old_cid")
+        full = materialize(hits.groupBy("range").agg(F.count(F.lit(1)).alias("in_range")).where(F.col("in_range") > self.FULL).select("range"), "forest_full")
+        crowded = bool(full.take(1))
+        pairs_b = (asks.join(full, "range", "left_anti") if crowded else asks).join(held.drop("size", "pace"), "range").where(fits).select("cid", "old_cid")
+        if crowded:  # in a full range only lengths and tempi that fit meet
+            dense = asks.join(full, "range", "left_semi").select("range", "cid", "n", "bpm", around("size"), "pace").select("range", "cid", "n", "bpm", "size", around("pace"))
+            pairs_b = pairs_b.unionByName(dense.join(held.join(full, "range", "left_semi"), ["range", "size", "pace"]).where(fits).select("cid", "old_cid"))
+        pairs_b = pairs_b.distinct()
+        found = done.unionByName(materialize(verified(pairs_b, new, old), "forest_found"))
+        for t in (firsts, asked, pairs, open_, hits, full):
+            drop(t)
         return found
 
     def check(self, batch: DataFrame) -> DataFrame:
@@ -279,18 +288,16 @@ class HashForest:
             return rows.select("rec_no").where("false")
         return rows.select("rec_no", class_number().alias("cid")).join(self.lookup(staged, runs), "cid").select("rec_no")
 
-    def accept(self, run: dict | None = None) -> None:
+    def accept(self, run: dict | None = None, merge: bool = True) -> None:
         """Append a run, by default that of the batch checked last, and merge runs where FAN_IN of one level have come together.
         Merged runs stay in the folder for lookups that have begun, until vacuum()."""
         if run is None:
             run, self.staged = self.staged, None
         self._commit([*self.runs, run])
         level = 0
-        while len(same := [r for r in self.runs if r["level"] == level]) >= self.FAN_IN:
-            both = {what: self._open(same[0], what) for what in ("classes", "entries")}
-            for r in same[1:]:
-                both = {what: df.unionByName(self._open(r, what)) for what, df in both.items()}
-            self._commit([*[r for r in self.runs if r["level"] != level], self._write(both["classes"], both["entries"], level + 1)])
+        while merge and len(same := [r for r in self.runs if r["level"] == level]) >= self.FAN_IN:
+            merged = self._write(self._open(same, "classes"), self._open(same, "entries"), level + 1)
+            self._commit([*[r for r in self.runs if r["level"] != level], merged])
             level += 1
 
     def vacuum(self) -> None:
@@ -309,14 +316,15 @@ class HashForest:
 
 
 #: Batches of a replay that are in work at the same time.
-WORKERS = 4
+WORKERS = 2
 
 
 def repeats(songs: DataFrame, store: HashForest | None = None) -> DataFrame:
     """rec_no of every song for which a song of an earlier batch has close events and bpm: every batch is accepted in turn and
     looked up in the forest as it was before. Songs without batch or bpm take no part.
 
-    A lookup needs the runs of the earlier batches and nothing else, so several batches are in work at a time.
+    A lookup needs the runs of the earlier batches and nothing else, so several batches are in work at a time. A forest made
+    for the replay alone isn't merged, as all its runs are read by the lookups that are under way.
     """
     spark = songs.sparkSession
     path = new_path(spark, "p3_rows")
@@ -324,15 +332,17 @@ def repeats(songs: DataFrame, store: HashForest | None = None) -> DataFrame:
     rows = spark.read.schema("rec_no bigint, bpm int, mel string, batch_no int").parquet(path)
     numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect())
     batches = [rows.where(F.col("batch_no") == b).drop("batch_no") for b in numbers]
-    store, out, before = store or HashForest(spark), rows.select("rec_no").where("false"), []
+    own, out, before = store is None, rows.select("rec_no").where("false"), []
+    store = store or HashForest(spark)
     with ThreadPoolExecutor(WORKERS) as pool:
         staged = list(pool.map(store.stage, batches))
         for run in staged:
             before.append(list(store.runs))
-            store.accept(run)
+            store.accept(run, merge=not own)
         for found in pool.map(store.repeated, batches, staged, before):
             out = out.unionByName(found)
-    store.vacuum()
+    if not own:
+        store.vacuum()
     return out
 
 
