@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window
 from tunewright.functions import music
 from tunewright.functions.transitions import shingles, with_transitions
 from tunewright.operators.graph import components
-from tunewright.shared import materialize
+from tunewright.shared import block_rows, by_block, materialize
 
 #: Fixed values of the near-duplicate rule.
 MIN_TOKENS, MIN_DISTINCT, SHINGLE = 12, 4, 4
@@ -39,12 +41,172 @@ def _first_of(keyed: DataFrame, *key: str) -> DataFrame:
     return keyed.join(materialize(several, "first_of"), list(key), "left").withColumn("retained", F.coalesce("retained", "rec_no"))
 
 
+def _keyed(songs: DataFrame, *keep: str) -> DataFrame:
+    """rec_no, family (32 bytes), tokens, block of the songs with events, as a table; a block is what one task wrote."""
+    keyed = songs.where(F.size("events") > 0).select("rec_no", "events", F.unhex(music.family_fingerprint(F.col("events"))).alias("family"), *keep)
+    return materialize(with_transitions(keyed, "rec_no", "family", *keep).withColumn("block", F.spark_partition_id()), "family_songs")
+
+
+def _members(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of a table(rec_no, block, ..) that ids(rec_no, block) names, as a table. Only the ids are shuffled."""
+    path = by_block(ids.select("rec_no", "block"), f"{name}_ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, pa.Array] = (None, None)
+        for batch in batches:
+            for block in pc.unique(batch.column("block")).to_pylist():
+                if held[0] != block:
+                    found = block_rows(path, block)
+                    held = (block, found.column("rec_no").combine_chunks() if found is not None else pa.array([], pa.int64()))
+                yield batch.filter(pc.and_(pc.equal(batch.column("block"), block), pc.is_in(batch.column("rec_no"), value_set=held[1])))
+
+    return materialize(rows.mapInArrow(run, rows.schema), name)
+
+
+def _first_of_families(keyed: DataFrame) -> DataFrame:
+    first = keyed.groupBy("family").agg(F.min(F.struct("rec_no", "block")).alias("m")).select("m.*")
+    return _members(keyed.select("rec_no", "family", "tokens", "block"), first, "family_reps")
+
+
 def representatives(songs: DataFrame) -> DataFrame:
-    """One song (the smallest rec_no) per family fingerprint: family, rec_no, tokens, grams."""
-    keyed = songs.where(F.size("events") > 0).select("rec_no", "events", music.family_fingerprint(F.col("events")).alias("family"))
-    first = keyed.groupBy("family").agg(F.min("rec_no").alias("rec_no"))
-    kept = keyed.drop("family").join(first, "rec_no")
-    return with_transitions(kept, "family", "rec_no").withColumn("grams", shingles(F.col("tokens"), SHINGLE))
+    """One song (the smallest rec_no) per family fingerprint: rec_no, family, tokens, block, grams."""
+    return _first_of_families(_keyed(songs)).withColumn("family", F.lower(F.hex("family"))).withColumn("grams", shingles(F.col("tokens"), SHINGLE))
+
+
+#: Hashes in a slice of the counts, and least number of slices; hashes of which a task sends the counts at once.
+PER_SLICE, MIN_SLICES, FLUSH = 1 << 20, 16, 1 << 22
+
+
+def _hashes(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed hash and song index of the distinct shingles of every song of a batch, by song."""
+    off = tokens.offsets.to_numpy().astype(np.int64)
+    flat = tokens.values.to_numpy()[off[0] : off[-1]].astype(np.uint64)
+    off = off - off[0]
+    count = np.maximum(np.diff(off) - SHINGLE + 1, 0)
+    song = np.repeat(np.arange(len(count)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + off[:-1][song]
+    h = np.zeros(len(at), np.uint64)
+    for i, m in enumerate(np.random.default_rng(11).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)):
+        h = h * m + flat[at + i]
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    order = np.lexsort((h, song))
+    h, song = h[order], song[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (song[1:] != song[:-1])
+    return h[first], song[first]
+
+
+def _frequencies(able: DataFrame) -> tuple[str, int]:
+    """Folder of block, slice, rests, df of the shingles that several melodies share, for the blocks that have them, and the number
+    of bits of a slice.
+
+    A shingle stands for itself by the highest 32 + bits bits of its hash: the slice, and 32 bits that are sent there once a block,
+    with their number. Hashes that agree so far are counted together: a count is never too small, one is exact.
+    """
+    total = able.select(F.sum(F.size("tokens") - (SHINGLE - 1))).first()[0] or 0
+    bits = max(-(-total // PER_SLICE), MIN_SLICES).bit_length()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for block, parts in held.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                at = np.flatnonzero(np.diff(keys >> np.uint64(32), prepend=np.uint64(2**63)))
+                rests = [x.tobytes() for x in np.split(keys.astype(np.uint32), at[1:])]
+                counts = [x.tobytes() for x in np.split(np.minimum(n, 65535).astype(np.uint16), at[1:])]
+                yield pa.record_batch([pa.array((keys[at] >> np.uint64(32)).astype(np.int64)), pa.array(np.full(len(at), block), pa.int32()), pa.array(rests, pa.binary()), pa.array(counts, pa.binary())], names=["slice", "block", "rests", "df"])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, song = _hashes(batch.column("tokens"))
+            keys, of = h >> np.uint64(32 - bits), batch.column("block").to_numpy()[song]
+            for block in np.unique(of):
+                held.setdefault(int(block), []).append(keys[of == block])
+            size += len(keys)
+            if size >= FLUSH:
+                yield from flushed()
+                size = 0
+        yield from flushed()
+
+    def several(rows: pa.Table) -> pa.Table:
+        rests = [np.frombuffer(x, np.uint32) for x in rows.column("rests").to_pylist()]
+        counts = [np.frombuffer(x, np.uint16) for x in rows.column("df").to_pylist()]
+        _, at = np.unique(np.concatenate(rests), return_inverse=True)
+        df = np.minimum(np.bincount(at, np.concatenate(counts)), 65535).astype(np.uint16)[at]
+        each = np.split(df, np.cumsum([len(x) for x in rests])[:-1])
+        out = [[x[d > 1].tobytes() for x, d in zip(rests, each, strict=True)], [d[d > 1].tobytes() for d in each]]
+        made = pa.table([rows.column("slice"), rows.column("block"), *(pa.array(x, pa.binary()) for x in out)], names=["slice", "block", "rests", "df"])
+        return made.filter(pa.array([bool(x) for x in out[0]]))
+
+    schema = "slice bigint, block int, rests binary, df binary"
+    return by_block(able.select("block", "tokens").mapInArrow(partial, schema).groupBy("slice").applyInArrow(several, schema), "near_rarity"), bits
+
+
+def _prefixes(able: DataFrame) -> DataFrame:
+    """g, rec_no, n, k, block: of the melodies' shingles in one order, the rarest first, those that must hold one in common with a
+    melody of enough likeness, unless it is of one melody only. As a table, so that one of very many melodies is split in a join."""
+    path, bits = _frequencies(able)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray, np.ndarray] = (None, np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+        for batch in batches:
+            for block in pc.unique(batch.column("block")).to_pylist():
+                if held[0] != block:
+                    found = block_rows(path, block)
+                    keys = [np.uint64(s) << np.uint64(32) | np.frombuffer(x, np.uint32) for s, x in zip(found.column("slice").to_pylist(), found.column("rests").to_pylist(), strict=True)] if found else []
+                    df = [np.frombuffer(x, np.uint16) for x in found.column("df").to_pylist()] if found else []
+                    keys, df = (np.concatenate(keys), np.concatenate(df)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+                    order = np.argsort(keys, kind="stable")
+                    held = (block, keys[order], df[order])
+                _, keys, df = held
+                if not len(keys):
+                    continue
+                part = batch.filter(pc.equal(batch.column("block"), block))
+                h, song = _hashes(part.column("tokens"))
+                k = np.bincount(song, minlength=part.num_rows)
+                own = h >> np.uint64(32 - bits)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                seen = keys[at] == own
+                h, song, often = h[seen], song[seen], df[at[seen]]
+                order = np.lexsort((h, often, song))
+                h, song = h[order], song[order]
+                shared = np.bincount(song, minlength=part.num_rows)
+                rank = np.arange(len(h)) - np.repeat(np.cumsum(shared) - shared, shared) + 1
+                keep = k - np.ceil(k * JACCARD).astype(int) + 1
+                use = rank + (k - shared)[song] <= keep[song]
+                h, song = h[use], song[use]
+                yield pa.record_batch([pa.array(h.view(np.int64)), part.column("rec_no").take(pa.array(song)), pa.array(np.diff(part.column("tokens").offsets.to_numpy())[song].astype(np.int32)), pa.array(k[song].astype(np.int32)), pa.array(np.full(len(h), block), pa.int32())], names=["g", "rec_no", "n", "k", "block"])
+
+    return materialize(able.select("rec_no", "tokens", "block").mapInArrow(run, "g bigint, rec_no bigint, n int, k int, block int"), "near_prefixes")
+
+
+def _near(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, common, jaccard of near_candidates(), and rec_no, family, tokens of the melodies in them, as tables."""
+    if "block" not in reps.columns:
+        reps = materialize(reps.select("rec_no", "family", "tokens").withColumn("block", F.spark_partition_id()), "near_reps")
+    able = reps.where((F.size("tokens") >= MIN_TOKENS) & (F.size(F.array_distinct("tokens")) >= MIN_DISTINCT)).select("rec_no", "family", "tokens", "block")
+    prefix = _prefixes(able)
+    a, b = prefix.alias("a"), prefix.alias("b")
+    ratio = F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= LENGTH_RATIO
+    # overlap of at least J / (1 + J) of both sizes is needed for the Jaccard gate
+    sizes = F.least("a.k", "b.k") >= JACCARD * F.greatest("a.k", "b.k")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.rec_no") < F.col("b.rec_no")) & ratio & sizes)
+    pairs = materialize(met.select(F.col("a.rec_no").alias("x"), F.col("a.block").alias("bx"), F.col("b.rec_no").alias("y"), F.col("b.block").alias("by")).distinct(), "near_met")
+    ids = pairs.select(F.inline(F.array(F.struct(F.col("x").alias("rec_no"), F.col("bx").alias("block")), F.struct(F.col("y").alias("rec_no"), F.col("by").alias("block"))))).distinct()
+    sides = _members(able, ids, "near_sides").drop("block")
+    side = lambda x: sides.select(F.col("rec_no").alias(x), F.col("family").alias(f"family_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("gx", shingles(F.col("tokens_x"), SHINGLE)).withColumn("gy", shingles(F.col("tokens_y"), SHINGLE))
+    both = both.select("x", "y", "family_x", "family_y", F.size(F.array_intersect("gx", "gy")).alias("common"), (F.size("gx") + F.size("gy")).alias("both"))
+    both = both.withColumn("jaccard", F.col("common") / (F.col("both") - F.col("common"))).where(F.col("jaccard") >= JACCARD)
+    first = F.col("family_x") < F.col("family_y")
+    made = both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), F.col("common").cast("bigint").alias("common"), "jaccard")
+    return materialize(made, "near_pairs"), sides
 
 
 def near_candidates(reps: DataFrame) -> DataFrame:
@@ -52,31 +214,15 @@ def near_candidates(reps: DataFrame) -> DataFrame:
 
     Lossless prefix filter: with shingles in one global order, two sets with Jaccard >= J share one of their first
     |S| - ceil(J |S|) + 1. The order is rarest first, so a shingle that very many melodies share is never joined on
-    unless it is all they have.
+    unless it is all they have. Melodies stay where they are: of their shingles 32 bits are shuffled to be counted, the counts
+    of those that several melodies share come back, and only what is left of the prefixes is joined.
     """
-    able = reps.where((F.size("tokens") >= MIN_TOKENS) & (F.size(F.array_distinct("tokens")) >= MIN_DISTINCT)).select("rec_no", "family", F.size("tokens").alias("n"), "grams")
-    able = materialize(able, "near_reps")
-    long = able.select("rec_no", F.explode("grams").alias("g"))
-    # a shingle of one melody only joins nothing; a table, so that one of very many melodies is split in the join
-    rarity = materialize(long.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near_rarity")
-    ordered = long.join(rarity, "g")
-    size = F.size("grams")
-    keep = size - F.ceil(size * JACCARD).cast("int") + 1
-    rank = F.row_number().over(Window.partitionBy("rec_no").orderBy("df", "g"))  # a melody's own shingles, a bounded group
-    # shingles of one melody only come first in the order; they use up places of the prefix
-    unique = able.select("rec_no", "n", "family", size.alias("k"), keep.alias("keep"))
-    counted = ordered.withColumn("rank", rank)
-    own = counted.groupBy("rec_no").agg(F.count(F.lit(1)).alias("shared"))
-    prefix = counted.join(unique.join(own, "rec_no"), "rec_no").where(F.col("rank") + F.col("k") - F.col("shared") <= F.col("keep")).select("g", "rec_no", "n", "family", "k")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    ratio = F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= LENGTH_RATIO
-    # overlap of at least J / (1 + J) of both sizes is needed for the Jaccard gate
-    sizes = F.least("a.k", "b.k") >= JACCARD * F.greatest("a.k", "b.k")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.family") < F.col("b.family")) & ratio & sizes).select(F.col("a.rec_no").alias("a"), F.col("b.rec_no").alias("b")).distinct()
-    side = lambda x: able.select(F.col("rec_no").alias(x), F.col("grams").alias(f"grams_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
-    both = both.withColumn("jaccard", F.col("common") / (F.size("grams_a") + F.size("grams_b") - F.col("common")))
-    return both.where(F.col("jaccard") >= JACCARD).select("a", "b", F.col("common").cast("bigint").alias("common"), "jaccard")
+    return _near(reps)[0]
+
+
+def near_verified(reps: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """verified() of all near_candidates(); only the melodies that are in one are read for it."""
+    return verified(*_near(reps), threshold)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, threshold: float = SIMILAR) -> DataFrame:
@@ -91,33 +237,37 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float = SIMILAR) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], []]
+            keep = []
             for x, y in zip(batch.column("tokens_b").to_pylist(), batch.column("tokens_a").to_pylist(), strict=True):
                 matched = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
                 short, long = sorted((len(x), len(y)))
                 out[0].append(2 * matched / (len(x) + len(y)))
                 out[1].append(matched / short)
                 out[2].append(short / long)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "jaccard")] + [pa.array(o, pa.float64()) for o in out], names=["a", "b", "jaccard", "similarity", "containment", "length_ratio"])
+                keep.append(out[0][-1] >= threshold or (short >= CONTAINED_MIN and out[1][-1] >= CONTAINED))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "jaccard")] + [pa.array(o, pa.float64()) for o in out], names=["a", "b", "jaccard", "similarity", "containment", "length_ratio"]).filter(pa.array(keep, pa.bool_()))
 
-    made = both.mapInArrow(run, "a bigint, b bigint, jaccard double, similarity double, containment double, length_ratio double")
-    short = F.least(F.size("tokens_a"), F.size("tokens_b"))
-    sizes = both.select("a", "b", short.alias("short"))
-    return made.join(sizes, ["a", "b"]).where((F.col("similarity") >= threshold) | ((F.col("short") >= CONTAINED_MIN) & (F.col("containment") >= CONTAINED))).drop("short")
+    return both.mapInArrow(run, "a bigint, b bigint, jaccard double, similarity double, containment double, length_ratio double")
 
 
 def families(songs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """rec_no, family_id: "family_" and 20 digits of the smallest fingerprint of the song's component.
 
     Songs of one fingerprint are one node; near edges between representatives join nodes. Songs without events are left out.
+    A fingerprint without near edges is its own least, so only those of larger components are joined back.
     """
-    keyed = materialize(songs.where(F.size("events") > 0).select("rec_no", music.family_fingerprint(F.col("events")).alias("family")), "family_keys")
-    reps = materialize(representatives(songs), "family_reps")
-    edges = verified(near_candidates(reps), reps, threshold).select("a", "b")
-    linked = components(edges)
-    named = reps.select("rec_no", "family").join(linked, F.col("rec_no") == F.col("node"), "left").select("family", F.coalesce("label", "rec_no").alias("label"))
-    named = materialize(named, "family_names")
-    least = materialize(named.groupBy("label").agg(F.min("family").alias("least")), "family_least")
-    return keyed.join(named.join(least, "label").select("family", "least"), "family").select("rec_no", F.concat(F.lit("family_"), F.substring("least", 1, 20)).alias("family_id"))
+    return _named(_keyed(songs), threshold).select("rec_no", "family_id")
+
+
+def _named(keyed: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """_keyed() songs, or groups of them, with family_id."""
+    pairs, sides = _near(_first_of_families(keyed))
+    linked = materialize(components(verified(pairs, sides, threshold).select("a", "b")), "family_linked")
+    named = materialize(sides.select("rec_no", "family").join(linked, F.col("rec_no") == F.col("node")).select("family", "label"), "family_names")
+    least = named.groupBy("label").agg(F.min("family").alias("least"))
+    changed = materialize(named.join(least, "label").where("family <> least").select("family", "least"), "family_least")
+    text = F.lower(F.hex(F.substring(F.coalesce("least", "family"), 1, 10)))
+    return keyed.drop("tokens", "block").join(changed, "family", "left").withColumn("family_id", F.concat(F.lit("family_"), text)).drop("family", "least")
 
 
 def dedup_report(songs: DataFrame) -> DataFrame:
@@ -170,12 +320,18 @@ def leakage(songs: DataFrame, near: bool = False) -> DataFrame:
     """kind, key, splits, songs: melodies (tempo-free and invariant, with `near` also families) that stand in more than one
     split. Null splits don't count."""
     ev = F.col("events")
-    keys = F.array(F.struct(F.lit("exact").alias("kind"), music.exact_fingerprint(F.col("bpm"), ev, False).alias("key")), F.struct(F.lit("invariant").alias("kind"), music.family_fingerprint(ev).alias("key")))
+    keys = F.array(F.struct(F.lit("exact").alias("kind"), F.unhex(music.exact_fingerprint(F.col("bpm"), ev, False)).alias("key")), F.struct(F.lit("invariant").alias("kind"), F.unhex(music.family_fingerprint(ev)).alias("key")))
     long = songs.where("split IS NOT NULL").select("split", F.inline(keys))
+    out = _spread(long).withColumn("key", F.lower(F.hex("key")))
     if near:
-        members = families(songs).join(songs.where("split IS NOT NULL").select("rec_no", "split"), "rec_no")
-        long = long.unionByName(members.select("split", F.lit("family").alias("kind"), F.col("family_id").alias("key")))
-    # distinct splits are counted as the few that occur, after partial aggregation by (key, split)
+        members = _named(_keyed(songs, "split")).where("split IS NOT NULL")
+        out = out.unionByName(_spread(members.select("split", F.lit("family").alias("kind"), F.col("family_id").alias("key"))))
+    return out
+
+
+def _spread(long: DataFrame) -> DataFrame:
+    """kind, key, splits, songs of the keys that stand in more than one split. Distinct splits are counted as the few that occur,
+    after partial aggregation by (key, split)."""
     per = long.groupBy("kind", "key", "split").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("splits"), F.sum("n").alias("songs")).where("splits > 1")
 

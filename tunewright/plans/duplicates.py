@@ -46,8 +46,7 @@ def _pairs(songs: DataFrame) -> DataFrame:
 
 
 def _verified(songs: DataFrame) -> DataFrame:
-    reps = dedup.representatives(songs)
-    return dedup.verified(dedup.near_candidates(reps), reps)
+    return dedup.near_verified(dedup.representatives(songs))
 
 
 _PAIRS = f"""

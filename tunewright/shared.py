@@ -10,6 +10,9 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -65,6 +68,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_block(df: DataFrame, name: str) -> str:
+    """Write df, which has a column block, as one folder a block; tasks that hold rows of a block read it with block_rows(), so the
+    rows themselves stay where they are."""
+    path = new_path(df.sparkSession, name)
+    df.repartition("block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def block_rows(path: str, block: int) -> pa.Table | None:
+    """What by_block() wrote for a block, in a task; None if it is nothing."""
+    files, root = fs.FileSystem.from_uri(path)
+    found = files.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+    parts = [pq.read_table(x.path, filesystem=files, partitioning=None) for x in found if x.path.endswith(".parquet")]
+    return pa.concat_tables(parts).combine_chunks() if parts else None
+
+
 def drop(table: DataFrame) -> None:
     """Delete a table written by materialize() that no later plan reads."""
     for f in {x.rpartition("/")[0] for x in table.inputFiles()}:
