@@ -1,5 +1,6 @@
 """What queries shuffle, hold and build up, on tables small enough for a test."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tunewright.functions.transitions import shingles
@@ -50,3 +51,15 @@ def test_near_candidates_are_all_pairs(spark):
     want = a.join(b, F.col("a.family") < F.col("b.family")).where(common / (F.size("a.g") + F.size("b.g") - common) >= 0.45).select("a.rec_no", "b.rec_no", common)
     got = dedup.near_candidates(reps).select("a", "b", "common")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() > 1000
+
+
+WHOLE = {
+    "near_dup_verify": lambda songs: dedup.near_verified(dedup.representatives(songs)),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_what_uses_near_candidates_shuffles_no_more_than_twice_the_shingles(spark, tmp_path, name):
+    songs(spark, 4000).write.parquet(f"{tmp_path}/songs")
+    got, size = shuffled(spark, lambda: WHOLE[name](spark.read.parquet(f"{tmp_path}/songs")).collect())
+    assert got and size < 2 * 4000 * 37 * 8
