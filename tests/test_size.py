@@ -55,6 +55,7 @@ def test_near_candidates_are_all_pairs(spark):
 
 WHOLE = {
     "near_dup_verify": lambda songs: dedup.near_verified(dedup.representatives(songs)),
+    "families": dedup.families,
 }
 
 
