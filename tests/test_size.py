@@ -56,6 +56,7 @@ def test_near_candidates_are_all_pairs(spark):
 WHOLE = {
     "near_dup_verify": lambda songs: dedup.near_verified(dedup.representatives(songs)),
     "families": dedup.families,
+    "family_split": lambda songs: dedup.family_split(dedup.families(songs)),
 }
 
 
