@@ -57,6 +57,7 @@ WHOLE = {
     "near_dup_verify": lambda songs: dedup.near_verified(dedup.representatives(songs)),
     "families": dedup.families,
     "family_split": lambda songs: dedup.family_split(dedup.families(songs)),
+    "leakage_three_keys": lambda songs: dedup.leakage(songs, True),
 }
 
 
