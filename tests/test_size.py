@@ -66,3 +66,29 @@ def test_what_uses_near_candidates_shuffles_no_more_than_twice_the_shingles(spar
     songs(spark, 4000).write.parquet(f"{tmp_path}/songs")
     got, size = shuffled(spark, lambda: WHOLE[name](spark.read.parquet(f"{tmp_path}/songs")).collect())
     assert got and size < 2 * 4000 * 37 * 8
+
+
+def test_audio_is_handed_on_in_small_batches(monkeypatch):
+    """However many songs come at once, a batch ends after WAV_BYTES."""
+    import pyarrow as pa
+
+    from tunewright.sources import sinks
+
+    caught = {}
+
+    class Songs:
+        schema = {"rec_no": type("field", (), {"dataType": type("kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            caught["run"] = run
+
+    sinks.rendered(Songs(), rate=8000)
+    note = [{"pitch": 60, "duration": 1, "dotted": False}] * 20
+    batch = pa.RecordBatch.from_pylist([{"rec_no": i, "bpm": 60, "events": note if i % 7 else None} for i in range(40)])
+    out = list(caught["run"](iter([batch])))
+    assert [k for b in out for k in b.column("rec_no").to_pylist()] == list(range(40))
+    assert max(sum(len(w or b"") for w in b.column("wav").to_pylist()) for b in out) < (4 << 20) + (2 << 20)
+    assert {len(w) for b in out for w in b.column("wav").to_pylist() if w} == {44 + 2 * 8000 * 80}
