@@ -120,3 +120,16 @@ def test_lines_of_many_songs_are_those_of_one_and_need_no_shuffle(spark, tmp_pat
             line = transcription.best_line(strength, attack) if kind == "lead" else transcription.top_line(strength, attack)
             line = transcription.cleaned(line, attack, least)
             assert got[r["rec_no"]] == [None if p == transcription.SILENT else p for p in line.tolist()]
+
+
+def test_the_nearest_search_writes_every_song_once(spark, tmp_path, monkeypatch):
+    from tunewright.operators import similarity
+
+    songs(spark, 1200).write.parquet(f"{tmp_path}/songs")
+    made = spark.read.parquet(f"{tmp_path}/songs").withColumn("name", F.lit("x"))
+    few, many = made.where("rec_no % 2 = 0"), made.where("rec_no % 2 = 1")
+    whole, once = shuffled(spark, lambda: similarity.nearest(few, many).orderBy("rec_no").collect())
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    cut, size = shuffled(spark, lambda: similarity.nearest(few, many).orderBy("rec_no").collect())
+    assert cut == whole and size < 2 * once
