@@ -133,3 +133,13 @@ def test_the_nearest_search_writes_every_song_once(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(similarity, "BLOCK", 50)
     cut, size = shuffled(spark, lambda: similarity.nearest(few, many).orderBy("rec_no").collect())
     assert cut == whole and size < 2 * once
+
+
+def test_a_token_alone_has_the_same_chance(spark):
+    from tunewright.operators import generation
+    from tunewright.operators import tokens as tk
+
+    made = songs(spark, 40, 20)
+    model = generation.stored_model(tk.ngram_counts(tk.sequences(made), 4), 4).open()
+    for r in tk.sequences(made).select("ids").limit(5).collect():
+        assert all(model.log_probability(r["ids"], i) == model.log_probabilities(r["ids"][:i])[r["ids"][i]] for i in range(1, len(r["ids"])))
