@@ -1,7 +1,9 @@
 """The preparation of a corpus, generation's rules and report, stored models, and transcription."""
 
 import io
+import itertools
 import random
+import time
 import wave
 
 import numpy as np
@@ -214,3 +216,47 @@ def test_recency_over_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
     got = [(r.event_type, r.run) for r in incremental.run_once(incremental.recency(stream)).collect()]
     assert sorted(got) == [("a", 2), ("b", 2)]
+
+
+def seconds_of(f, times=5):
+    """CPU seconds of the quickest of some calls."""
+    took = []
+    for _ in range(times):
+        began = time.process_time()
+        f()
+        took.append(time.process_time() - began)
+    return min(took)
+
+
+def test_a_path_costs_what_is_there_and_not_all_pitches():
+    strength, attack = np.full((400, 128), np.nan), np.full((400, 128), np.nan)
+    strength[np.arange(400), 60 + np.arange(400) // 8 % 7] = 0.8
+    attack[np.arange(0, 400, 8), 60 + np.arange(50) % 7] = 0.8
+    moves = np.zeros((129, 129))
+    assert transcription.best_line(strength, attack).tolist() == (60 + np.arange(400) // 8 % 7).tolist()
+    assert seconds_of(lambda: transcription.best_line(strength, attack)) < seconds_of(lambda: [(moves + i).argmax(axis=0) for i in range(400)])
+
+
+def test_best_line_of_many_and_of_few_pitches_is_the_best():
+    r = np.random.default_rng(3)
+    for few in (2, 6):  # up to 16 moves a step are made one by one
+        strength, attack = np.full((4, 128), np.nan), np.full((4, 128), np.nan)
+        strength[:, 60 : 60 + few] = r.random((4, few))
+        attack[2, 60 : 60 + few] = r.random(few)
+        strength[1] = np.nan
+
+        def score(path):
+            total, before = 0.0, transcription.SILENT
+            for t, p in enumerate(path):
+                struck, heard = not np.isnan(attack[t]).all(), p != transcription.SILENT
+                if heard and before != transcription.SILENT:
+                    total += (0.15 if struck else 0.42) if p == before else -0.14 - 0.055 * abs(p - before) + 0.24 * struck
+                else:
+                    total += -0.2 if heard or before != transcription.SILENT else 0.15
+                total += 2.5 * strength[t, p] + 0.1 * (p - 60) + (0.7 * (0.5 + attack[t, p]) if struck else 0) if heard else 0
+                before = p
+            return total
+
+        every = [range(60, 60 + few)] * 4
+        every[1] = [transcription.SILENT]
+        assert tuple(transcription.best_line(strength, attack)) == max(itertools.product(*every), key=score)
