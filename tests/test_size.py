@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunewright.functions.transitions import shingles
-from tunewright.operators import dedup
+from tunewright.operators import dedup, tokens
 
 
 def songs(spark, n, length=40):
@@ -143,3 +143,10 @@ def test_a_token_alone_has_the_same_chance(spark):
     model = generation.stored_model(tk.ngram_counts(tk.sequences(made), 4), 4).open()
     for r in tk.sequences(made).select("ids").limit(5).collect():
         assert all(model.log_probability(r["ids"], i) == model.log_probabilities(r["ids"][:i])[r["ids"][i]] for i in range(1, len(r["ids"])))
+
+
+def test_a_decoded_song_is_computed_once(spark):
+    made = songs(spark, 3).select("bpm", "events", tokens.decoded(tokens.token_ids(F.col("bpm"), F.col("events"))).alias("back"))
+    assert made.select("back")._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    assert all(r.back.bpm == r.bpm and r.back.events == r.events for r in made.collect())
+    assert spark.range(1).select(tokens.decoded(F.lit(None).cast("array<int>")).alias("x")).first().x is None

@@ -5,6 +5,8 @@ Ids are arithmetic: PAD 0, BOS 1, EOS 2, then tempi 25..900, pitches 60..107, th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +30,29 @@ def token_ids(bpm: Column, events: Column) -> Column:
     return F.when(legal, F.concat(F.array(F.lit(BOS), bpm - BPM[0] + BPM_0), F.flatten(F.transform(events, pair)), F.array(F.lit(EOS))))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once a row, however often f names it, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def decoded(ids: Column) -> Column:
     """STRUCT<bpm, events> of a token sequence, padding at its end stripped; null where the grammar is broken."""
+    return once(ids, lambda x: once(_stripped(x), _decoded))
+
+
+def _stripped(ids: Column) -> Column:
     last = F.size(F.filter(F.transform(ids, lambda x, i: F.when(x != PAD, i)), lambda x: x.isNotNull()))
     # padding stands only at the end of a legal sequence, so the number of other tokens is its length
-    body = F.slice(ids, 1, F.greatest(last, F.lit(0)))
+    return F.slice(ids, 1, F.greatest(last, F.lit(0)))
+
+
+def _decoded(body: Column) -> Column:
     n = F.size(body)
     pairs = F.when((n >= 5) & (n % 2 == 1), F.transform(F.sequence(F.lit(3), F.greatest(n - 2, F.lit(3)), F.lit(2)), lambda i: F.struct(F.element_at(body, i).alias("p"), F.element_at(body, i + 1).alias("d"))))
+    return once(pairs, lambda x: _song(body, n, x))
+
+
+def _song(body: Column, n: Column, pairs: Column) -> Column:
     ok = (F.get(body, F.lit(0)) == BOS) & (F.element_at(body, -1) == EOS) & F.get(body, F.lit(1)).between(BPM_0, PITCH_0 - 1)
     ok &= F.forall(pairs, lambda x: x["p"].between(PITCH_0, REST) & x["d"].between(DURATION_0, VOCABULARY - 1))
     length = F.array(*[F.lit(d) for d in DURATIONS])
