@@ -395,3 +395,13 @@ def test_mixture(spark):
     again, _ = mixture.plan(d.repartition(7), t, total=3000)
     assert sorted(again.collect()) == sorted(rows)
     assert mixture.budgets([("a", 0.5, 1), ("b", 0.5, 4)], {"a": 10, "b": 100}, 100.0) == {"a": 10.0, "b": 90.0}
+
+
+def test_a_replay_of_more_batches_makes_no_more_jobs(songs, spark):
+    """Batches that fit together are staged and looked up by the same jobs: the driver holds no more plans for eight than for two."""
+    scheduler, jobs = spark.sparkContext._jsc.sc().dagScheduler(), []
+    for n in (2, 8):
+        before = scheduler.numTotalJobs()
+        assert forest.repeats(songs.withColumn("batch_no", (F.col("rec_no") % n).cast("int"))).count() > 0
+        jobs.append(scheduler.numTotalJobs() - before)
+    assert jobs[1] < 1.5 * jobs[0]

@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +88,16 @@ def _labels(batch: pa.RecordBatch, hashes: np.ndarray, a: np.ndarray, b: np.ndar
 
 
 def entries(classes: DataFrame) -> DataFrame:
-    """label, cid: one row per melody class (columns cid, mel) and tree."""
+    """label, cid, run: one row per melody class (columns cid, mel, run) and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = _mixers()
         for batch in batches:
             if batch.num_rows:
                 labels = _labels(batch, *mix)
-                yield pa.record_batch([labels.ravel(), np.repeat(batch.column("cid").to_numpy(), TREES)], names=["label", "cid"])
+                yield pa.record_batch([labels.ravel(), *(np.repeat(batch.column(c).to_numpy(), TREES) for c in ("cid", "run"))], names=["label", "cid", "run"])
 
-    return classes.select("cid", "mel").mapInArrow(run, "label bigint, cid bigint")
+    return classes.select("cid", "mel", "run").mapInArrow(run, "label bigint, cid bigint, run int")
 
 
 def prefix(depth: int) -> Column:
@@ -111,19 +110,19 @@ def class_number(mel: str = "mel", bpm: str = "bpm") -> Column:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """cid, mel, bpm: one row per distinct (melody, bpm) of rows(mel, bpm)."""
-    return rows.groupBy("mel", "bpm").agg(F.count(F.lit(1)).alias("n")).select(class_number().alias("cid"), "mel", "bpm")
+    """cid, mel, bpm, run: one row per distinct (melody, bpm, run) of rows(mel, bpm, run)."""
+    return rows.groupBy("mel", "bpm", "run").agg(F.count(F.lit(1)).alias("n")).select(class_number().alias("cid"), "mel", "bpm", "run")
 
 
 def _side(classes: DataFrame, p: str) -> DataFrame:
-    return classes.select(F.col("cid").alias(f"{p}cid"), F.col("mel").alias(f"{p}mel"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"))
+    return classes.select(F.col("cid").alias(f"{p}cid"), F.col("run").alias(f"{p}run"), F.col("mel").alias(f"{p}mel"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"))
 
 
 def verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-    """The cids of the pairs (cid of new, old_cid of old) with close events and bpm. All sides are tables, so a class that is in
-    very many pairs is split by AQE."""
-    both = pairs.join(_side(new, ""), "cid").join(_side(old, "old_"), "old_cid").where(close_bpm(F.col("bpm"), F.col("old_bpm")))
-    return both.where(close_events("mel", "old_mel", "n", "old_n")).select("cid").distinct()
+    """The cid, run of the pairs (cid, run of new, old_cid, old_run of old) with close events and bpm. All sides are tables, so a
+    class that is in very many pairs is split by AQE."""
+    both = pairs.join(_side(new, ""), ["cid", "run"]).join(_side(old, "old_"), ["old_cid", "old_run"]).where(close_bpm(F.col("bpm"), F.col("old_bpm")))
+    return both.where(close_events("mel", "old_mel", "n", "old_n")).select("cid", "run").distinct()
 
 
 def _steps(c: Column) -> Column:
@@ -135,7 +134,8 @@ class HashForest:
     """The forest in a folder. check() looks a batch up and stages its run, accept() makes the run part of the forest.
 
     path/manifest/NNNNNNNN.json lists the runs; path/runs/<name>/{entries,classes}/part=P are their parts: entries by the
-    highest bits of the label, classes by those of their number, PART rows to a part. What a batch costs depends on its own
+    highest bits of the label, classes by those of their number, PART rows to a part; a run of one part is one. Every row has in
+    `run` the number of the batch that it came with, which grows from batch to batch and outlives merges. What a batch costs depends on its own
     entries: it opens at most one part per entry and run, of bounded size, whatever the history holds.
     """
 
@@ -151,7 +151,8 @@ class HashForest:
         self.spark, self.path, self.widest = spark, path or new_path(spark, "forest"), depth_for(recall)
         jvm = spark.sparkContext._jvm
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._file = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._jpath = jvm.org.apache.hadoop.fs.Path
+        self._file = lambda name: self._jpath(f"{self.path}/{name}")
         self.version, self.runs = 0, []
         if self._fs.exists(self._file("manifest")):
             names = sorted(f.getPath().getName() for f in self._fs.listStatus(self._file("manifest")) if f.getPath().getName().endswith(".json"))
@@ -179,12 +180,20 @@ class HashForest:
     def _class_part(bits: int) -> Column:
         return F.shiftrightunsigned("cid", 64 - bits) if bits else F.lit(0).cast("bigint")
 
-    def _write(self, classes: DataFrame, made: DataFrame | None, level: int) -> dict:
+    @staticmethod
+    def _named(level: int, number: int) -> dict:
+        """A new run, of the batches up to this number."""
+        return {"name": uuid.uuid4().hex[:16], "level": level, "class_bits": 0, "entry_bits": 0, "last": number}
+
+    def _next(self) -> int:
+        return 1 + max((r.get("last", 0) for r in self.runs), default=0)
+
+    def _write(self, classes: DataFrame, made: DataFrame | None, level: int, number: int) -> dict:
         """A run of the classes and their entries (by default those derived from the classes), sorted. Equal labels in large
         numbers fill several files of a part."""
-        run = {"name": uuid.uuid4().hex[:16], "level": level, "class_bits": 0, "entry_bits": 0}
+        run = self._named(level, number)
         at = f"{self.path}/runs/{run['name']}"
-        classes.select("cid", "mel", "bpm").write.parquet(f"{at}/classes/part=0")
+        classes.select("cid", "mel", "bpm", "run").write.parquet(f"{at}/classes/part=0")
         size = run["classes"] = self._open(run, "classes").count()
         run["entry_bits"] = self._bits(size, self.PART)
         if size > self.PART:  # more than one part: dealt out anew
@@ -211,62 +220,69 @@ class HashForest:
             part = self._label_part(bits) if what == "entries" else self._class_part(bits)
             wanted = {f"part={r[0]}" for r in asked.select(part.alias("part")).distinct().collect()}
             paths += [f"{self.path}/{at}/{n}" for f in self._fs.listStatus(self._file(at)) if (n := f.getPath().getName()) in wanted]
-        schema = "label bigint, cid bigint" if what == "entries" else "cid bigint, mel string, bpm int"
+        schema = "label bigint, cid bigint, run int" if what == "entries" else "cid bigint, mel string, bpm int, run int"
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths)
+        opened = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths)
+        return opened.withColumn("run", F.coalesce("run", F.lit(0)))  # a forest written before rows had it
 
     def _entries(self, made: DataFrame, runs: list[dict]) -> DataFrame:
         """Entries of the history in the parts that the batch's entries fall in."""
         return self._open(runs, "entries", made)
 
     def _classes(self, wanted: DataFrame, runs: list[dict]) -> DataFrame:
-        """The classes of the history that the table wanted(old_cid) names, read from the parts that their numbers fall in."""
+        """The classes of the runs that the table wanted(old_cid) names, read from the parts that their numbers fall in."""
         numbers = wanted.select(F.col("old_cid").alias("cid")).distinct()
         own = self._open(runs, "classes", numbers)
         return own.join(F.broadcast(numbers) if numbers.count() <= self.BROADCAST_KEYS else numbers, "cid", "left_semi")
 
-    def lookup(self, staged: dict, runs: list[dict]) -> DataFrame:
-        """cid of the classes of a staged run for which a class of the given runs, an earlier state of the forest, is close.
+    def lookup(self, staged: list[dict], runs: list[dict]) -> DataFrame:
+        """cid, run of the classes of staged runs for which a class of an earlier batch is close: of the given runs, an earlier state
+        of the forest, or of the staged runs before its own.
 
         From the deepest prefix to the widest, an entry is held against one entry of its range: as many candidates as
         entries, however full a range is. Only what that leaves is held against whole ranges, and there a pair is made only
         if lengths and tempi allow it; in a full range both are parts of the join's key.
         """
         new, made, wide = self._open(staged, "classes"), self._open(staged, "entries"), prefix(self.widest)
-        few = staged["classes"] * TREES <= self.BROADCAST_KEYS
+        few = sum(r["classes"] for r in staged) * TREES <= self.BROADCAST_KEYS
         sent = F.broadcast if few else lambda df: df
-
-        def in_ranges(asked: DataFrame) -> DataFrame:
-            return self._entries(asked, runs).join(sent(asked.select(wide.alias("range")).distinct()), wide == F.col("range"), "left_semi")
-
-        # one row per distinct label, so a label that very many melodies share is one row from here on
-        firsts = materialize(in_ranges(made).groupBy("label").agg(F.min("cid").alias("old_cid")), "forest_firsts")
-        # most of a batch's ranges are empty in the history
-        asked = materialize(made.join(sent(firsts.select(wide.alias("range")).distinct()), wide == F.col("range"), "left_semi").select("label", "cid"), "forest_asked")
-        pairs = asked.join(firsts, "label").select("cid", "old_cid")
+        every = made
+        if runs:
+            every = made.unionByName(self._entries(made, runs).join(sent(made.select(wide.alias("range")).distinct()), wide == F.col("range"), "left_semi"))
+        # most ranges are those of one batch: nothing of an earlier one is in them
+        ranges = materialize(every.groupBy(wide.alias("range")).agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select("range", "first"), "forest_ranges")
+        near = materialize(every.join(sent(ranges), wide == F.col("range")).select("range", "label", "cid", "run", "first"), "forest_near")
+        # one row per distinct label, the earliest, so a label that very many melodies share is one row from here on
+        firsts = materialize(near.groupBy("label").agg(F.min(F.struct("run", "cid")).alias("old")), "forest_firsts")
+        asked = near.where((F.col("run") >= min(r["last"] for r in staged)) & (F.col("first") < F.col("run"))).select("range", "label", "cid", "run")
+        earlier = lambda met: met.where(F.col("old.run") < F.col("run")).select("cid", "run", F.col("old.cid").alias("old_cid"), F.col("old.run").alias("old_run"))
+        pairs = earlier(asked.join(firsts, "label"))
         for depth in range(DEPTH - 1, self.widest - 1, -1):
-            first = firsts.groupBy(prefix(depth).alias("range")).agg(F.min("old_cid").alias("old_cid"))
-            pairs = pairs.unionByName(asked.withColumn("range", prefix(depth)).join(first if few else materialize(first, "forest_firsts"), "range").select("cid", "old_cid"))
+            first = firsts.groupBy(prefix(depth).alias("range")).agg(F.min("old").alias("old"))
+            own = asked.select(prefix(depth).alias("range"), "cid", "run")
+            pairs = pairs.unionByName(earlier(own.join(first if few else materialize(first, "forest_firsts"), "range")))
         pairs = materialize(pairs.distinct(), "forest_pairs")
-        done = materialize(verified(pairs, new, self._classes(pairs, runs)), "forest_found")
-        open_ = materialize(asked.join(sent(done), "cid", "left_anti").select("label", "cid"), "forest_open")
-        hits = materialize(in_ranges(open_).select(wide.alias("range"), F.col("cid").alias("old_cid")), "forest_hits")
-        old = self._classes(hits, runs)
-        gates = lambda c, p: c.select(F.col("cid").alias(f"{p}cid"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"), _steps(F.length("mel")).alias("size"), _steps(F.col("bpm")).alias("pace"))
+        whole = [*runs, *staged] if len(staged) > 1 else runs
+        done = materialize(verified(pairs, new, self._classes(pairs, whole)), "forest_found")
+        open_ = materialize(asked.join(sent(done), ["cid", "run"], "left_anti"), "forest_open")
+        hits = materialize(near.join(sent(open_.groupBy("range").agg(F.max("run").alias("last"))), "range").where("run < last").select("range", F.col("cid").alias("old_cid"), F.col("run").alias("old_run")), "forest_hits")
+        old = self._classes(hits, whole)
+        gates = lambda c, p: c.select(F.col("cid").alias(f"{p}cid"), F.col("run").alias(f"{p}run"), F.length("mel").alias(f"{p}n"), F.col("bpm").alias(f"{p}bpm"), _steps(F.length("mel")).alias("size"), _steps(F.col("bpm")).alias("pace"))
         around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
-        fits = close_bpm(F.col("bpm"), F.col("old_bpm")) & (F.abs(F.col("n") - F.col("old_n")) * 10 <= F.greatest("n", "old_n"))
-        asks = open_.select(wide.alias("range"), "cid").join(gates(new, ""), "cid")
-        held = hits.join(gates(old, "old_"), "old_cid")
+        fits = (F.col("old_run") < F.col("run")) & close_bpm(F.col("bpm"), F.col("old_bpm")) & (F.abs(F.col("n") - F.col("old_n")) * 10 <= F.greatest("n", "old_n"))
+        pair = ("cid", "run", "old_cid", "old_run")
+        asks = open_.select("range", "cid", "run").join(gates(new, ""), ["cid", "run"])
+        held = hits.join(gates(old, "old_"), ["old_cid", "old_run"])
         full = materialize(hits.groupBy("range").agg(F.count(F.lit(1)).alias("in_range")).where(F.col("in_range") > self.FULL).select("range"), "forest_full")
         crowded = bool(full.take(1))
-        pairs_b = (asks.join(full, "range", "left_anti") if crowded else asks).join(held.drop("size", "pace"), "range").where(fits).select("cid", "old_cid")
+        pairs_b = (asks.join(full, "range", "left_anti") if crowded else asks).drop("size", "pace").join(held.drop("size", "pace"), "range").where(fits).select(*pair)
         if crowded:  # in a full range only lengths and tempi that fit meet
-            dense = asks.join(full, "range", "left_semi").select("range", "cid", "n", "bpm", around("size"), "pace").select("range", "cid", "n", "bpm", "size", around("pace"))
-            pairs_b = pairs_b.unionByName(dense.join(held.join(full, "range", "left_semi"), ["range", "size", "pace"]).where(fits).select("cid", "old_cid"))
+            dense = asks.join(full, "range", "left_semi").select("range", "cid", "run", "n", "bpm", around("size"), "pace").select("range", "cid", "run", "n", "bpm", "size", around("pace"))
+            pairs_b = pairs_b.unionByName(dense.join(held.join(full, "range", "left_semi"), ["range", "size", "pace"]).where(fits).select(*pair))
         pairs_b = pairs_b.distinct()
         found = done.unionByName(materialize(verified(pairs_b, new, old), "forest_found"))
-        for t in (firsts, asked, pairs, open_, hits, full):
+        for t in (ranges, near, firsts, pairs, open_, hits, full):
             drop(t)
         return found
 
@@ -274,19 +290,40 @@ class HashForest:
         """rec_no of the batch's songs that repeat a song of the history; songs without bpm take no part. Nothing about the
         history is computed anew. The batch's own run is written now and serves the lookup; accept() makes it part of the forest."""
         self._forget()
-        rows = materialize(members(batch.where("bpm IS NOT NULL"), "bpm"), "forest_rows")
-        self.staged = self.stage(rows)
-        return self.repeated(rows, self.staged, self.runs)
-
-    def stage(self, rows: DataFrame) -> dict:
-        """The run of a batch's rows(rec_no, mel, bpm), which isn't part of the forest yet."""
-        return self._write(classes_of(rows), None, 0)
-
-    def repeated(self, rows: DataFrame, staged: dict, runs: list[dict]) -> DataFrame:
-        """rec_no of the rows of a staged run that repeat a song in the given runs."""
-        if not (runs and staged["classes"]):
+        rows = materialize(members(batch.where("bpm IS NOT NULL"), "bpm").withColumn("run", F.lit(self._next())), "forest_rows")
+        self.staged = self.stage(rows, self._next())
+        return self.repeated(rows, [self.staged], self.runs)
+
+    def stage(self, rows: DataFrame, number: int) -> dict:
+        """The run of a batch's rows(rec_no, mel, bpm, run), which isn't part of the forest yet."""
+        return self._write(classes_of(rows), None, 0, number)
+
+    def stage_together(self, rows: DataFrame, numbers: list[int]) -> list[dict]:
+        """The runs of several batches, of PART rows at most in all, each a run as stage() makes it; rows' run tells them apart. All
+        are written by the same three jobs."""
+        runs = {n: self._named(0, n) for n in numbers}
+        at = f"{self.path}/staged/{uuid.uuid4().hex[:16]}"
+
+        def moved(what: str, to: str) -> None:
+            for n, run in runs.items():
+                self._fs.mkdirs(self._file(f"runs/{run['name']}/{what}"))
+                self._fs.rename(self._jpath(f"{at}/{what}/batch={n}"), self._file(f"runs/{run['name']}/{what}/{to}"))
+
+        classes_of(rows).withColumn("batch", F.col("run")).write.partitionBy("batch").parquet(f"{at}/classes")
+        moved("classes", "part=0")
+        classes = self._open([*runs.values()], "classes")
+        for r in classes.groupBy("run").count().collect():  # as many rows as batches
+            runs[r["run"]]["classes"] = r["count"]
+        entries(classes).withColumn("batch", F.col("run")).sortWithinPartitions("batch", "label", "cid").write.partitionBy("batch").parquet(f"{at}/entries")
+        moved("entries", "part=0")
+        _delete(self.spark, at)
+        return [*runs.values()]
+
+    def repeated(self, rows: DataFrame, staged: list[dict], runs: list[dict]) -> DataFrame:
+        """rec_no of the rows of staged runs that repeat a song of an earlier batch, in the given runs or the staged."""
+        if not ((runs or len(staged) > 1) and any(r["classes"] for r in staged)):
             return rows.select("rec_no").where("false")
-        return rows.select("rec_no", class_number().alias("cid")).join(self.lookup(staged, runs), "cid").select("rec_no")
+        return rows.select("rec_no", class_number().alias("cid"), "run").join(self.lookup(staged, runs), ["cid", "run"]).select("rec_no")
 
     def accept(self, run: dict | None = None, merge: bool = True) -> None:
         """Append a run, by default that of the batch checked last, and merge runs where FAN_IN of one level have come together.
@@ -296,7 +333,7 @@ class HashForest:
         self._commit([*self.runs, run])
         level = 0
         while merge and len(same := [r for r in self.runs if r["level"] == level]) >= self.FAN_IN:
-            merged = self._write(self._open(same, "classes"), self._open(same, "entries"), level + 1)
+            merged = self._write(self._open(same, "classes"), self._open(same, "entries"), level + 1, max(r.get("last", 0) for r in same))
             self._commit([*[r for r in self.runs if r["level"] != level], merged])
             level += 1
 
@@ -315,32 +352,33 @@ class HashForest:
             self.staged = None
 
 
-#: Batches of a replay that are in work at the same time.
-WORKERS = 2
-
-
 def repeats(songs: DataFrame, store: HashForest | None = None) -> DataFrame:
-    """rec_no of every song for which a song of an earlier batch has close events and bpm: every batch is accepted in turn and
-    looked up in the forest as it was before. Songs without batch or bpm take no part.
+    """rec_no of every song for which a song of an earlier batch has close events and bpm: the batches are accepted in turn and
+    looked up in the forest, each in what came before it. Songs without batch or bpm take no part.
 
-    A lookup needs the runs of the earlier batches and nothing else, so several batches are in work at a time. A forest made
-    for the replay alone isn't merged, as all its runs are read by the lookups that are under way.
+    Batches of PART songs together at most are staged and looked up by the same jobs, so a replay of many batches costs the driver
+    no more plans than one of few. A forest made for the replay alone isn't merged.
     """
     spark = songs.sparkSession
     path = new_path(spark, "p3_rows")
     members(songs.where(F.col("batch_no").isNotNull() & F.col("bpm").isNotNull()), "bpm", "batch_no").write.partitionBy("batch_no").parquet(path)
     rows = spark.read.schema("rec_no bigint, bpm int, mel string, batch_no int").parquet(path)
-    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect())
-    batches = [rows.where(F.col("batch_no") == b).drop("batch_no") for b in numbers]
-    own, out, before = store is None, rows.select("rec_no").where("false"), []
+    own, out = store is None, rows.select("rec_no").where("false")
     store = store or HashForest(spark)
-    with ThreadPoolExecutor(WORKERS) as pool:
-        staged = list(pool.map(store.stage, batches))
+    groups: list[list[int]] = []
+    for b, n in sorted(tuple(r) for r in rows.groupBy("batch_no").count().collect()):
+        if not groups or size + n > store.PART:
+            groups, size = [*groups, []], 0
+        groups[-1].append(b)
+        size += n
+    for group in groups:
+        numbers = [store._next() + i for i in range(len(group))]
+        which = F.element_at(F.create_map(*(F.lit(x) for pair in zip(group, numbers, strict=True) for x in pair)), F.col("batch_no"))
+        part = rows.where(F.col("batch_no").isin(group)).select("rec_no", "mel", "bpm", which.alias("run"))
+        staged = store.stage_together(part, numbers) if len(group) > 1 else [store.stage(part, numbers[0])]
+        out = out.unionByName(store.repeated(part, staged, list(store.runs)))
         for run in staged:
-            before.append(list(store.runs))
             store.accept(run, merge=not own)
-        for found in pool.map(store.repeated, batches, staged, before):
-            out = out.unionByName(found)
     if not own:
         store.vacuum()
     return out
