@@ -150,3 +150,21 @@ def test_a_decoded_song_is_computed_once(spark):
     assert made.select("back")._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
     assert all(r.back.bpm == r.bpm and r.back.events == r.events for r in made.collect())
     assert spark.range(1).select(tokens.decoded(F.lit(None).cast("array<int>")).alias("x")).first().x is None
+
+
+def test_long_songs_are_taken_fewer_at_a_time(monkeypatch):
+    """However long the songs of a batch are, what is held of them at once has a bound, and the lines stay the same."""
+    import pyarrow as pa
+
+    from tunewright.operators import transcription
+
+    shapes, made = [], transcription._slots
+    monkeypatch.setattr(transcription, "_slots", lambda *x: shapes.append((out := made(*x))[0].shape) or out)
+    song = lambda i: [{"pitch": 60 + (i * j) % 17, "duration": 1 if i % 3 else 16, "dotted": j % 4 == 0} for j in range(20 + i)]
+    events = pa.array([song(i) for i in range(60)], pa.list_(pa.struct([("pitch", pa.int32()), ("duration", pa.int32()), ("dotted", pa.bool_())])))
+    lines = lambda kind: [x.tolist() for x in transcription.played_lines(events, 8, 0.9, kind, 2)]
+    want = lines("lead"), lines("upper")
+    shapes.clear()
+    monkeypatch.setattr(transcription, "CELLS", 1 << 13)
+    assert (lines("lead"), lines("upper")) == want
+    assert max(n * m for n, m, _ in shapes) <= 1 << 13 and len(shapes) > 10
