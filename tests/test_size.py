@@ -168,3 +168,14 @@ def test_long_songs_are_taken_fewer_at_a_time(monkeypatch):
     monkeypatch.setattr(transcription, "CELLS", 1 << 13)
     assert (lines("lead"), lines("upper")) == want
     assert max(n * m for n, m, _ in shapes) <= 1 << 13 and len(shapes) > 10
+
+
+@pytest.mark.parametrize("size", [64, 1 << 16])
+def test_blocks_have_a_bound_and_change_nothing(spark, tmp_path, monkeypatch, size):
+    """A table of one row group is read by one task; what that holds of its block has a bound all the same."""
+    songs(spark, 1000).coalesce(1).write.parquet(f"{tmp_path}/songs")
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", size)
+    reps = dedup.representatives(spark.read.parquet(f"{tmp_path}/songs"))
+    blocks = {r["block"]: r["count"] for r in reps.groupBy("block").count().collect()}
+    assert max(blocks.values()) <= size and sum(blocks.values()) == 1000
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in dedup.near_candidates(reps).collect()} == {(i, i + 1) for i in range(9, 1000, 10)}

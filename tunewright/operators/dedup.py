@@ -41,10 +41,22 @@ def _first_of(keyed: DataFrame, *key: str) -> DataFrame:
     return keyed.join(materialize(several, "first_of"), list(key), "left").withColumn("retained", F.coalesce("retained", "rec_no"))
 
 
+#: Songs in a block at most.
+BLOCK_ROWS = 1 << 16
+
+
+def _block() -> Column:
+    """Number of a row's block: at most BLOCK_ROWS rows that one task handles, so that what a task holds of a block has a bound
+    even where a table is one large row group. Blocks of one number count as one."""
+    at = F.monotonically_increasing_id()
+    within = F.least(F.shiftright(at.bitwiseAND((1 << 33) - 1), BLOCK_ROWS.bit_length() - 1), F.lit(4095))
+    return (F.spark_partition_id() * 4096 + within).cast("int")
+
+
 def _keyed(songs: DataFrame, *keep: str) -> DataFrame:
-    """rec_no, family (32 bytes), tokens, block of the songs with events, as a table; a block is what one task wrote."""
+    """rec_no, family (32 bytes), tokens, block of the songs with events, as a table."""
     keyed = songs.where(F.size("events") > 0).select("rec_no", "events", F.unhex(music.family_fingerprint(F.col("events"))).alias("family"), *keep)
-    return materialize(with_transitions(keyed, "rec_no", "family", *keep).withColumn("block", F.spark_partition_id()), "family_songs")
+    return materialize(with_transitions(keyed, "rec_no", "family", *keep).withColumn("block", _block()), "family_songs")
 
 
 def _members(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -189,7 +201,7 @@ def _prefixes(able: DataFrame) -> DataFrame:
 def _near(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b, common, jaccard of near_candidates(), and rec_no, family, tokens of the melodies in them, as tables."""
     if "block" not in reps.columns:
-        reps = materialize(reps.select("rec_no", "family", "tokens").withColumn("block", F.spark_partition_id()), "near_reps")
+        reps = materialize(reps.select("rec_no", "family", "tokens").withColumn("block", _block()), "near_reps")
     able = reps.where((F.size("tokens") >= MIN_TOKENS) & (F.size(F.array_distinct("tokens")) >= MIN_DISTINCT)).select("rec_no", "family", "tokens", "block")
     prefix = _prefixes(able)
     a, b = prefix.alias("a"), prefix.alias("b")
