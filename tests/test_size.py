@@ -179,3 +179,13 @@ def test_blocks_have_a_bound_and_change_nothing(spark, tmp_path, monkeypatch, si
     blocks = {r["block"]: r["count"] for r in reps.groupBy("block").count().collect()}
     assert max(blocks.values()) <= size and sum(blocks.values()) == 1000
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in dedup.near_candidates(reps).collect()} == {(i, i + 1) for i in range(9, 1000, 10)}
+
+
+def test_three_keys_hold_the_two(spark):
+    """Songs without events, or without a split, count under three keys as they do under two."""
+    made = songs(spark, 300)
+    odd = made.where("rec_no % 10 < 4").withColumn("events", F.when(F.col("rec_no") % 2 == 0, F.filter("events", lambda e: F.lit(False)))).withColumn("rec_no", F.col("rec_no") + 1000)
+    copies = made.where("rec_no % 7 = 0").withColumn("rec_no", F.col("rec_no") + 2000).withColumn("split", F.when(F.col("rec_no") % 3 > 0, F.lit("test")))
+    every = made.unionByName(odd).unionByName(copies)
+    two, three = ({tuple(r) for r in dedup.leakage(every, near).collect()} for near in (False, True))
+    assert two and {r for r in three if r[0] != "family"} == two and any(r[0] == "family" for r in three)

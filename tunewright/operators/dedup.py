@@ -331,14 +331,16 @@ def family_split(members: DataFrame, seed: int = 42, ratios: tuple[float, float,
 def leakage(songs: DataFrame, near: bool = False) -> DataFrame:
     """kind, key, splits, songs: melodies (tempo-free and invariant, with `near` also families) that stand in more than one
     split. Null splits don't count."""
-    ev = F.col("events")
-    keys = F.array(F.struct(F.lit("exact").alias("kind"), F.unhex(music.exact_fingerprint(F.col("bpm"), ev, False)).alias("key")), F.struct(F.lit("invariant").alias("kind"), F.unhex(music.family_fingerprint(ev)).alias("key")))
-    long = songs.where("split IS NOT NULL").select("split", F.inline(keys))
-    out = _spread(long).withColumn("key", F.lower(F.hex("key")))
-    if near:
-        members = _named(_keyed(songs, "split")).where("split IS NOT NULL")
-        out = out.unionByName(_spread(members.select("split", F.lit("family").alias("kind"), F.col("family_id").alias("key"))))
-    return out
+    exact = F.struct(F.lit("exact").alias("kind"), F.unhex(music.exact_fingerprint(F.col("bpm"), F.col("events"), False)).alias("key"))
+    invariant = F.struct(F.lit("invariant").alias("kind"), F.unhex(music.family_fingerprint(F.col("events"))).alias("key"))
+    known = songs.where("split IS NOT NULL")
+    if not near:
+        return _spread(known.select("split", F.inline(F.array(exact, invariant)))).withColumn("key", F.lower(F.hex("key")))
+    keyed = _keyed(songs, "split")  # has the fingerprints of songs with events
+    long = known.select("split", F.inline(F.array(exact))).unionByName(keyed.where("split IS NOT NULL").select("split", F.lit("invariant").alias("kind"), F.col("family").alias("key")))
+    long = long.unionByName(known.where(~F.coalesce(F.size("events") > 0, F.lit(False))).select("split", F.inline(F.array(invariant))))
+    out, members = _spread(long).withColumn("key", F.lower(F.hex("key"))), _named(keyed).where("split IS NOT NULL")
+    return out.unionByName(_spread(members.select("split", F.lit("family").alias("kind"), F.col("family_id").alias("key"))))
 
 
 def _spread(long: DataFrame) -> DataFrame:
